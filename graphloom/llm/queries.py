@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 from graphloom.llm.simhash import simhash_components
+from graphloom.llm.substring import remove_repeats
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +15,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op6_substring": op6_substring}
 ORACLE_SQL: dict[str, str] = {}
