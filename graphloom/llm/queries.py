@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import bpe
 from graphloom.llm.common import table
 from graphloom.llm.simhash import simhash_components
 from graphloom.llm.substring import remove_repeats
@@ -20,5 +21,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op6_substring": op6_substring}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe.default_path(spark)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op6_substring": op6_substring, "op9_bpe": op9_bpe}
 ORACLE_SQL: dict[str, str] = {}
