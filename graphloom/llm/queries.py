@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe
 from graphloom.llm.common import table
+from graphloom.llm.linedup import remove_boilerplate
+from graphloom.llm.rotated import nearest
 from graphloom.llm.simhash import simhash_components
 from graphloom.llm.substring import remove_repeats
+from graphloom.llm.vafile import exact_top_k
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,15 +19,53 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bpe.default_path(spark)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op6_substring": op6_substring, "op9_bpe": op9_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
+    return found.select("doc_id", F.col("line__count").alias("n_lines"), F.col("line__removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash, op5_vafile, op6_substring, op8_rotated, op9_bpe, op10_lines)}
+
+#: Lines of documents with the spread of their trimmed text over sites, and who has it first.
+LINES_SQL = r"""
+cut AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+trimmed AS (SELECT *, trim(regexp_replace(line, '[\x09-\x0D]', ' ', 'g')) AS t FROM cut),
+spread AS (SELECT t, min(struct_pack(a := doc_id, b := pos)) AS first FROM trimmed WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+judged AS (SELECT c.*, s.t IS NOT NULL AND struct_pack(a := c.doc_id, b := c.pos) IS DISTINCT FROM s.first AS gone FROM trimmed c LEFT JOIN spread s ON c.t = s.t)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_vafile": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op10_lines": f"""
+WITH {LINES_SQL}
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n END AS n_lines, coalesce(gone, 0) AS n_removed, sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END) AS text_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS gone, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY doc_id) j ON d.doc_id = j.doc_id
+""",
+}
