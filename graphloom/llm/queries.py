@@ -9,11 +9,22 @@ from graphloom.llm import bpe
 from graphloom.llm.common import table
 from graphloom.llm.linedup import remove_boilerplate
 from graphloom.llm.rotated import nearest
+from graphloom.llm.sharding import assign_shards
 from graphloom.llm.simhash import simhash_components
 from graphloom.llm.substring import remove_repeats
+from graphloom.llm.urltree import judge_urls
 from graphloom.llm.vafile import exact_top_k
 
 
+SHARD_BYTES = 1 << 20
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,6 +40,11 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_urltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return found.withColumn("bad_share", F.round("bad_share", 9))
+
+
 def op8_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -44,7 +60,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line__count").alias("n_lines"), F.col("line__removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_vafile, op6_substring, op8_rotated, op9_bpe, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines)}
 
 #: Lines of documents with the spread of their trimmed text over sites, and who has it first.
 LINES_SQL = r"""
@@ -54,7 +70,44 @@ spread AS (SELECT t, min(struct_pack(a := doc_id, b := pos)) AS first FROM trimm
 judged AS (SELECT c.*, s.t IS NOT NULL AND struct_pack(a := c.doc_id, b := c.pos) IS DISTINCT FROM s.first AS gone FROM trimmed c LEFT JOIN spread s ON c.t = s.t)
 """
 
+
+
+def url_sql(depth: int = 8, support: int = 20) -> str:
+    steps = [
+        """p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+ coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+s0 AS (SELECT p.*, good, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS tpl
+ FROM p LEFT JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1) l ON p.page_id = l.doc_id)"""
+    ]
+    for k in range(1, depth + 1):
+        steps.append(f"""l{k} AS (SELECT host, tpl, segs[{k}] AS seg FROM s{k - 1} WHERE len(segs) >= {k} GROUP BY 1, 2, 3 HAVING count(*) >= {support}),
+s{k} AS (SELECT s.* EXCLUDE (tpl), CASE WHEN len(segs) >= {k} THEN s.tpl || '/' || coalesce(l.seg, '*') ELSE s.tpl END AS tpl
+ FROM s{k - 1} s LEFT JOIN l{k} l ON s.host = l.host AND s.tpl = l.tpl AND s.segs[{k}] = l.seg)""")
+    steps.append(f"""t AS (SELECT * EXCLUDE (tpl), CASE WHEN len(segs) > {depth} THEN tpl || '/**' ELSE tpl END AS tpl FROM s{depth}),
+b AS (SELECT host, tpl, regexp_replace(tpl, '^/[^/]*', '/*') AS parent, count(good) AS n, coalesce(sum(1 - good), 0) AS bad FROM t GROUP BY 1, 2),
+c AS (SELECT *, coalesce(sum(bad) OVER w / nullif(sum(n) OVER w, 0), 0) AS common FROM b WINDOW w AS (PARTITION BY host, parent)),
+m AS (SELECT *, CASE WHEN n = 0 OR abs(bad / n - common) <= 1.96 * sqrt(common * (1 - common) / n) THEN parent ELSE tpl END AS final FROM c),
+f AS (SELECT *, (sum(bad) OVER w + 10 * (SELECT coalesce(avg(1 - good), 0) FROM t)) / (sum(n) OVER w + 10) AS share FROM m WINDOW w AS (PARTITION BY host, final)),
+rules(rule, verdict, h, pre) AS (VALUES {", ".join(f"('{h}{p}', '{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
+fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM t JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY 1)
+SELECT t.page_id, t.host, path, rule, coalesce(verdict, CASE WHEN share > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, final AS template, round(share, 9) AS bad_share
+FROM t JOIN f ON t.host = f.host AND t.tpl = f.tpl LEFT JOIN fit ON t.page_id = fit.page_id""")
+    return "WITH " + ",\n".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": f"""
+WITH h AS (SELECT doc_id, coalesce(strlen(text), 0) AS n, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS a,
+           ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS b FROM documents),
+r AS (SELECT doc_id, n, ((a >> 30) << 30) | (b >> 30) AS p FROM h),
+e AS (SELECT r.*, d, p >> (60 - d) AS bucket FROM r, (SELECT unnest(range(61)) AS d)),
+s AS (SELECT d, bucket, CAST(sum(n) AS BIGINT) AS bytes, count(*) AS c FROM e GROUP BY ALL),
+l AS (SELECT doc_id, n, min(d) FILTER (WHERE bytes <= {SHARD_BYTES} OR d = 60) AS depth, p FROM e JOIN s USING (d, bucket) GROUP BY doc_id, n, p)
+SELECT doc_id, n AS n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p >> (60 - depth)), CAST(depth AS INTEGER), '0') END AS shard,
+ CAST(depth AS INTEGER) AS depth, bytes AS shard_bytes, c AS shard_rows, bytes > {SHARD_BYTES} AS oversized
+FROM l JOIN s ON l.depth = s.d AND p >> (60 - depth) = bucket
+""",
+    "op7_urltree": url_sql(),
     "op5_vafile": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
