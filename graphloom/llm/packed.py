@@ -42,6 +42,23 @@ def bucket_bits(values: int, per_bucket: int = 1 << 21, least: int = 4, most: in
     return min(most, max(least, math.ceil(math.log2(max(values, 1) / per_bucket + 1))))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once. (np.unique hashes instead of sorting, which is some 30 times slower here.)"""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))]
+
+
+def distinct_with(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, where each stands first, each value's place among them, and their counts."""
+    order = np.argsort(values, kind="stable")
+    run = values[order]
+    new = np.concatenate((np.ones(min(1, len(run)), bool), run[1:] != run[:-1]))
+    at = np.flatnonzero(new)
+    inverse = np.empty(len(run), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return run[at], order[at], inverse, np.diff(np.append(at, len(run)))
+
+
 def split(values: np.ndarray, at: Layout) -> np.ndarray:
     """Positions at which the sorted values pass from one bucket to the next; one more than buckets."""
     edges = np.arange(1, at.buckets, dtype=np.uint64) << np.uint64(at.bits - at.bucket_bits)

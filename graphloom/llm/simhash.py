@@ -75,11 +75,11 @@ def near_links(fps: DataFrame, radius: int = 4, per_block: int = 1024) -> DataFr
         return own, every, hashes
 
     def first(group: pa.Table) -> pa.Table:
-        return packed.requests(group["block"][0].as_py(), np.unique(variants(group)[2]), at)
+        return packed.requests(group["block"][0].as_py(), packed.distinct(variants(group)[2]), at)
 
     def second(group: pa.Table, replies: pa.Table) -> pa.Table:
         own, every, hashes = variants(group)
-        known, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        known, _, inverse, count = packed.distinct_with(hashes)
         hit = ((packed.flags(known, replies, at) | (count > 1))[inverse]).reshape(every.shape)
         row, mask = np.nonzero(hit)
         bucket = (hashes.reshape(every.shape)[row, mask] >> np.uint64(at.bits - at.bucket_bits)).astype(np.int64)

@@ -78,7 +78,7 @@ class Block:
         rank = np.cumsum([k > 0 and ids[k] != ids[k - 1] for k in range(len(ids))], dtype=np.int64)
         self.rank = rank[self.owner] if len(self.owner) else np.zeros(0, np.int64)  # equal ids rank equal
         self.hashes = every[self.starts]
-        self.known, self.first, self.inverse = np.unique(self.hashes, return_index=True, return_inverse=True)
+        self.known, self.first, self.inverse, _ = packed.distinct_with(self.hashes)
 
     def removed(self, seen: np.ndarray, window: int) -> np.ndarray:
         """A flag for each word. seen: for each known hash, whether an earlier block has it."""
