@@ -12,6 +12,7 @@ from graphloom.llm.rotated import nearest
 from graphloom.llm.sharding import assign_shards
 from graphloom.llm.simhash import simhash_components
 from graphloom.llm.substring import remove_repeats
+from graphloom.llm.toxicity import score_toxicity
 from graphloom.llm.urltree import judge_urls
 from graphloom.llm.vafile import exact_top_k
 
@@ -25,6 +26,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+TOXIC_FROM = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,7 +69,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line__count").alias("n_lines"), F.col("line__removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines)}
 
 #: Lines of documents with the spread of their trimmed text over sites, and who has it first.
 LINES_SQL = r"""
