@@ -91,7 +91,7 @@ def distinct_words(texts, added, buckets: int) -> tuple[list[str], np.ndarray]:
     return [words[k] for k in order], np.searchsorted(at[order], np.arange(buckets + 1))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 10 << 20) -> DataFrame:
     """(id, ids array<int>) for every row of docs, as the tokenizers library encodes whole texts without adding tokens.
 
     Documents are dealt into blocks. Each block sends its distinct words to the tasks that own
