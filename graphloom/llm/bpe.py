@@ -192,11 +192,11 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
     return encoded.mapInArrow(run, f"{fields}, `{out_col}` string")
 
 
-def digests(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, decoded anew from the ids."""
+def digests(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, with keep_ids also ids) of encoded rows, decoded anew from the ids."""
     both = decode(encoded.select(id_col, "ids"), tokenizer_path)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return both.select(id_col, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select(id_col, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
 
 
 def default_path(spark: SparkSession) -> str:

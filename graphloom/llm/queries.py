@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe
 from graphloom.llm.common import table
 from graphloom.llm.linedup import remove_boilerplate
+from graphloom.llm.mixing import OTHER, TOPICS, mix
 from graphloom.llm.rotated import nearest
 from graphloom.llm.sharding import assign_shards
 from graphloom.llm.simhash import simhash_components
@@ -34,6 +35,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.col(f"mix__{c}").alias(c) for c in ("source", "lang", "topic", "tokens")), F.round("mix__prob", 6).alias("prob"), F.col("mix__kept").alias("kept"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,7 +75,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line__count").alias("n_lines"), F.col("line__removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_mixing, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines)}
 
 #: Lines of documents with the spread of their trimmed text over sites, and who has it first.
 LINES_SQL = r"""
@@ -104,7 +110,34 @@ FROM t JOIN f ON t.host = f.host AND t.tpl = f.tpl LEFT JOIN fit ON t.page_id =
     return "WITH " + ",\n".join(steps)
 
 
+def mix_sql(keep: float = 0.9, power: float = 0.7, rounds: int = 10, fills: int = 6) -> str:
+    topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{part}') THEN '{name}'" for name, part in TOPICS) + f" ELSE '{OTHER}' END"
+    steps = [
+        f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic,
+ coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens FROM documents)""",
+        "w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM d GROUP BY 1, 2, 3)",
+    ]
+    for m in ("source", "lang", "topic"):
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(t, {power}) / sum(pow(t, {power})) OVER () AS target FROM (SELECT {m}, sum(tokens)::DOUBLE AS t FROM w0 GROUP BY 1) WHERE t > 0)")
+    k = 0
+    for _ in range(rounds):
+        for m in ("source", "lang", "topic"):
+            k += 1
+            steps.append(f"""w{k} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, tokens, coalesce(weight * target / nullif(sum(weight) OVER (PARTITION BY w.{m}), 0), 0) AS weight
+ FROM w{k - 1} w LEFT JOIN t_{m} USING ({m}))""")
+    steps.append(f"r AS MATERIALIZED (SELECT *, coalesce(weight / nullif(tokens, 0), 0) AS ratio, {keep} * sum(tokens) OVER () AS budget FROM w{k})")
+    steps.append("f0 AS MATERIALIZED (SELECT max(budget) AS s FROM r)")
+    for i in range(1, fills + 1):
+        steps.append(f"""f{i} AS MATERIALIZED (SELECT coalesce(greatest(0, (max(budget) - sum(CASE WHEN ratio * s >= 1 THEN tokens ELSE 0 END)) / nullif(sum(CASE WHEN ratio * s >= 1 THEN 0 ELSE tokens * ratio END), 0)), max(s)) AS s
+ FROM r, f{i - 1})""")
+    steps.append(f"c AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, ratio * s) ELSE 1.0 END AS p FROM r, f{fills})")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS prob, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT / pow(2, 60) < p AS kept
+FROM d JOIN c USING (source, lang, topic)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mix_sql(),
     "op1_sharding": f"""
 WITH h AS (SELECT doc_id, coalesce(strlen(text), 0) AS n, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS a,
            ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS b FROM documents),

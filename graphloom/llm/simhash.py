@@ -126,3 +126,19 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
     of_fp = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(of_fp.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select(F.col("doc__id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which one stays for each component: the one of the smallest id, a null id being the largest.
+
+    Among rows of one id the text's hash decides; rows equal in id and text count as one and stay
+    once. All columns pass through. Other cases are those of simhash_components.
+    """
+    of = F.xxhash64(text_col)
+    own = checkpoint(fingerprints(docs.select(F.struct(F.col(id_col).alias("id"), of.alias("of")).alias("row"), F.col(text_col).alias("text")), shingle, "row", "text"))
+    per_fp = own.groupBy("fp").agg(F.min(F.struct(F.col("row.id").isNull().alias("none"), "row.id", "row.of")).alias("first"))
+    roots = connected_components(near_links(per_fp.select("fp"), radius))
+    of_fp = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = of_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("stay__id"), F.col("first.of").alias("stay__of"))
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("stay__id")) & (of == F.col("stay__of")))
+    return kept.dropDuplicates(["stay__id", "stay__of"]).drop("stay__id", "stay__of")

@@ -150,8 +150,8 @@ def learn_lexicon(texts: DataFrame) -> dict[str, float]:
     return {r["form"]: float(r["weight"]) for r in best.collect()}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """(id, held_out, score) for every row of docs; score is between 0 and 1, higher for toxic texts.
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS, carry: bool = False) -> DataFrame:
+    """(id, held_out, score) for every row of docs, with carry also `row`, a struct of all its columns; score is between 0 and 1, higher for toxic texts.
 
     Learned from labelled rows of folds 0, 1 and 3 (see fold), at most max_fit_rows of them: a
     lexicon of word forms and beginnings by log odds and gradient-boosted trees over FEATURES from
@@ -167,8 +167,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     marks = marks.withColumn("fold", fold(F.col("id"))).where("fold <> 2")
     fit_rows = F.broadcast(marks.orderBy(F.xxhash64("id"), "id").limit(max_fit_rows))  # bounded by its limit
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = checkpoint(own.join(fit_rows, "id").repartition(16))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    texts = checkpoint(own.select("id", "text").join(fit_rows, "id").repartition(16))
     lexicon = learn_lexicon(texts.where("fold < 2"))
     strong = float(np.quantile(list(lexicon.values()), 0.5)) if lexicon else math.inf
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -185,19 +185,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     vector = lambda frame: frame.withColumn("features", array_to_vector("features"))
     train = checkpoint(dense(texts, "toxic fold", "toxic int, fold int"))
     kind = docs.schema[id_col].dataType.simpleString()
-    every = dense(own, "id", f"id {kind}")
+    more = ["row"] if carry else []
+    every = dense(own, " ".join(["id", *more]), f"id {kind}" + (f", row {own.schema['row'].dataType.simpleString()}" if carry else ""))
     kinds = {(r["fold"] < 2, r["toxic"]): r["count"] for r in train.groupBy("fold", "toxic").count().collect()}
     held = F.coalesce(fold(F.col("id")) == 2, F.lit(False))
     if len({t for f, t in kinds if f}) < 2:
         share = sum(n for (_, t), n in kinds.items() if t) / max(1, sum(kinds.values()))
-        return every.select(F.col("id").alias(id_col), held.alias("held_out"), F.lit(float(share)).alias("score"))
+        return every.select(F.col("id").alias(id_col), held.alias("held_out"), F.lit(float(share)).alias("score"), *more)
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, seed=11, checkpointInterval=-1)
     model = trees.fit(vector(train.where("fold < 2")))
     raw = lambda frame: model.transform(vector(frame)).withColumn("raw", vector_to_array("probability")[1])
     score = F.col("raw")
-    scored = raw(every).select("id", "raw")
+    scored = raw(every).select("id", "raw", *more)
     calibrate = train.where("fold = 3")
     if calibrate.take(1):
         steps = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="calibrated").fit(raw(calibrate).select("raw", F.col("toxic").cast("double").alias("toxic")))
         scored, score = steps.transform(scored), F.col("calibrated")
-    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"), *more)
