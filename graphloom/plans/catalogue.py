@@ -1,4 +1,311 @@
-"""The registered queries over the code graph and their DuckDB counterparts."""
+"""The registered queries over the code graph, each beside its DuckDB counterpart."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.functions import columns as C
+from graphloom.functions.session import table
+from graphloom.operators import catalog as K
+from graphloom.operators import modes as M
+from graphloom.operators import traverse as T
+from graphloom.plans.driver_graph import TERA, duckdb_ctes, load
+from graphloom.streaming.diagnostics import replay
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def graph_query(name: str, sql: str | None, run) -> None:
+    """Register run(graph) with SQL that can use nodes, edges, diagnostics and checks."""
+    QUERIES[name] = lambda spark, sf_dir: run(load(spark, sf_dir))
+    if sql:
+        ORACLE_SQL[name] = duckdb_ctes() + sql
+
+
+def quoted(names) -> str:
+    return ", ".join(f"'{n}'" for n in (names.split() if isinstance(names, str) else names))
+
+
+def both(nodes, edges):
+    return nodes.select(F.lit("node").alias("part"), "id", "type").union(edges.select(F.lit("edge"), "id", "type"))
+
+
+DEGREE = """, deg AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT edge, id FROM (SELECT id AS edge, source AS id FROM edges UNION ALL SELECT id, target FROM edges)) GROUP BY id),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS connections FROM nodes LEFT JOIN deg ON nodes.id = deg.id)"""
+
+
+def mode_sql(mode: str) -> str:
+    more = "OR (type IN ('Function', 'Method', 'Handler') AND (visibility IN ('pub', 'pub(crate)') OR signature IS NOT NULL OR connections >= 2))" if mode == "meso" else ""
+    out = DEGREE + f""", n0 AS (SELECT * FROM full_nodes WHERE (type IN ({quoted(M.TYPES[mode])}) {more}) AND reachability IS DISTINCT FROM 'Detached'),
+ends AS (SELECT * FROM edges WHERE source IN (SELECT id FROM n0) AND target IN (SELECT id FROM n0)),
+e0 AS (SELECT * FROM ends WHERE type IN ({quoted(M.EDGE_TYPES[mode])}))"""
+    if mode == "callflow":
+        out += ", e1 AS (SELECT * FROM e0 UNION ALL SELECT * FROM ends WHERE type = 'Contains' AND NOT EXISTS (SELECT 1 FROM e0))"
+    else:
+        out += ", e1 AS (SELECT * FROM e0)"
+    if mode in M.SEMANTIC:
+        out += f""", t AS (SELECT source AS id FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])}) UNION SELECT target FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])})),
+n1 AS (SELECT * FROM n0 WHERE id IN (SELECT id FROM t) OR NOT EXISTS (SELECT 1 FROM t)),
+e2 AS (SELECT * FROM e1 WHERE (source IN (SELECT id FROM t) AND target IN (SELECT id FROM t)) OR NOT EXISTS (SELECT 1 FROM t))"""
+    else:
+        out += ", n1 AS (SELECT * FROM n0), e2 AS (SELECT * FROM e1)"
+    return out + " SELECT 'node' AS part, id, type FROM n1 UNION ALL SELECT 'edge', id, type FROM e2"
+
+
+for _mode in M.TYPES:
+    graph_query(f"mode_{_mode}", mode_sql(_mode), lambda g, m=_mode: both(*M.filter_snapshot(g.nodes, g.edges, m)))
+
+graph_query("degree", DEGREE + " SELECT id, connections FROM full_nodes", lambda g: M.degree(g.nodes, g.edges).select("id", "connections"))
+
+ESSENTIAL = "type IN ('Contains', 'EndpointHandler', 'ApiCall', 'Renders') OR (type = 'Calls' AND confidence IN ('Exact', 'Semantic'))"
+for _level, _cond in {"all": "true", "semantic": f"{ESSENTIAL} OR type IN ('Calls', 'Imports', 'Uses', 'DataFlow', 'TypeReference')", "essential": ESSENTIAL}.items():
+    graph_query(f"edge_visibility_{_level}", f" SELECT id, type, confidence FROM edges WHERE {_cond}", lambda g, v=_level: M.edge_visibility(g.edges, v).select("id", "type", "confidence"))
+
+# Parallel edges only come from merging: symbols' edges seen from their files.
+LIFTED = """, up AS (SELECT e.seq, e.id, s.file AS source, e.target, e.type, e.confidence, e.label, e.kind FROM edges e JOIN nodes s ON e.source = s.id WHERE s.type <> 'File' AND s.file IS NOT NULL)"""
+
+
+def lifted(g):
+    owner = g.nodes.where("type <> 'File' AND file IS NOT NULL").select(F.col("id").alias("source"), "file")
+    return g.edges.join(owner, "source").withColumn("source", F.col("file")).drop("file")
+
+
+graph_query(
+    "bundle_edges",
+    LIFTED + """ SELECT CASE WHEN count(*) = 1 THEN min_by(id, seq) ELSE concat(type, ':', source, '->', target, ':bundle:', count(*)) END AS id, source, target, type, min_by(confidence, seq) AS confidence,
+ count(*) AS bundled, list(id ORDER BY seq, id) AS edge_ids FROM up GROUP BY source, target, type, CASE WHEN type = 'DataFlow' THEN concat(coalesce(kind, 'Unknown'), ':', coalesce(label, '')) END""",
+    lambda g: M.bundle(lifted(g)),
+)
+RANK = "CASE confidence WHEN 'Exact' THEN 3 WHEN 'Semantic' THEN 2 WHEN 'SyntaxFallback' THEN 1 ELSE 0 END"
+graph_query("edge_confidence_merge", LIFTED + f" SELECT source, type, min_by(id, seq) AS id, max_by(confidence, {RANK}) AS confidence, count(*) AS n FROM up GROUP BY source, type", lambda g: K.merge_edges(lifted(g), ["source", "type"]))
+graph_query("dedupe_first", " SELECT label, type, min_by(id, seq) AS id FROM nodes GROUP BY label, type", lambda g: T.first_by_seq(g.nodes, "label", "type").select("label", "type", "id"))
+
+CENTRE = f"SELECT id FROM nodes WHERE seq = 3 * {TERA} + 1"
+
+
+def centre(g):
+    return g.nodes.where(F.col("seq") == 3 * TERA + 1).select("id")
+
+
+BOTH_WAYS = ", pairs AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)"
+
+
+def reach_sql(depth: int | None, pairs: str = BOTH_WAYS) -> str:
+    if depth is None:
+        return pairs + f", r AS ({CENTRE} UNION SELECT b FROM r JOIN pairs ON r.id = pairs.a) SELECT id FROM r"
+    return pairs + f", r AS (SELECT id, 0 AS hop FROM ({CENTRE}) UNION SELECT b, hop + 1 FROM r JOIN pairs ON r.id = pairs.a WHERE hop < {depth}) SELECT id, min(hop) AS hop FROM r GROUP BY id"
+
+
+for _d in (1, 2, 3):
+    graph_query(f"focus_d{_d}", reach_sql(_d), lambda g, d=_d: T.focus(g.nodes, g.edges, centre(g), d)[0])
+graph_query("focus_full", reach_sql(None), lambda g: T.focus(g.nodes, g.edges, centre(g), None)[0].select("id"))
+MICRO = ", inner_nodes AS (SELECT id FROM nodes WHERE type NOT IN ('Module', 'ExternalCrate')), pairs AS (SELECT source AS a, target AS b FROM edges WHERE source IN (SELECT id FROM inner_nodes) AND target IN (SELECT id FROM inner_nodes) UNION SELECT target, source FROM edges WHERE source IN (SELECT id FROM inner_nodes) AND target IN (SELECT id FROM inner_nodes))"
+graph_query("neighborhood_micro", reach_sql(2, MICRO), lambda g: T.neighbourhood(g.nodes.where("type NOT IN ('Module', 'ExternalCrate')"), g.edges, centre(g), 2))
+
+LEVELS = DEGREE + """, st AS (SELECT source, target FROM edges WHERE type IN ('Contains', 'ModDeclaration', 'ExternalDependency') AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+lv AS (SELECT id, 0 AS level FROM nodes WHERE id NOT IN (SELECT target FROM st) UNION SELECT target, level + 1 FROM lv JOIN st ON lv.id = st.source WHERE level < 50),
+least AS (SELECT id, min(level) AS level FROM lv GROUP BY id),
+d AS (SELECT f.id, f.type, level, CASE WHEN f.type = 'ExternalCrate' OR (f.type = 'Module' AND file IS NULL) THEN 1 WHEN f.type IN ('Module', 'File') THEN 2
+ WHEN f.type IN ('Endpoint', 'Struct', 'Class', 'Object', 'Enum', 'Trait', 'Impl', 'Component', 'Hook', 'Interface', 'TypeAlias') THEN 3
+ WHEN f.type IN ('Function', 'Method', 'Handler') AND (visibility IN ('pub', 'pub(crate)') OR coalesce(signature, '') <> '' OR connections >= 2) THEN 3 ELSE 4 END AS depth
+ FROM full_nodes f LEFT JOIN least ON f.id = least.id)"""
+for _d in (1, 2, 3):
+    graph_query(f"hierarchy_d{_d}", LEVELS + f" SELECT id, type, level FROM d WHERE depth <= {_d} AND (level IS NULL OR level <= {_d + 1})", lambda g, d=_d: T.hierarchy(M.degree(g.nodes, g.edges), g.edges, d))
+
+OWN = """, grp AS (SELECT id AS owner, seq AS position FROM nodes WHERE type = 'Module'),
+cl AS (SELECT owner, position, e.target AS id FROM grp JOIN edges e ON e.source = owner AND e.type = 'Contains' UNION SELECT owner, position, e.target FROM cl JOIN edges e ON e.source = cl.id AND e.type = 'Contains'),
+own AS (SELECT id, min_by(owner, position) AS owner FROM cl WHERE id <> owner GROUP BY id)"""
+
+
+def groups(g):
+    return g.nodes.where("type = 'Module'").select("id", F.col("seq").alias("position"))
+
+
+graph_query(
+    "collapse_groups",
+    OWN + """, mv AS (SELECT e.id, e.type, coalesce(s.owner, source) AS ns, coalesce(t.owner, target) AS nt, s.owner IS NULL AND t.owner IS NULL AS same FROM edges e LEFT JOIN own s ON source = s.id LEFT JOIN own t ON target = t.id),
+lf AS (SELECT id, type FROM nodes WHERE id NOT IN (SELECT id FROM own))
+SELECT 'node' AS part, id, type FROM lf UNION ALL SELECT 'edge', CASE WHEN same THEN id ELSE concat(type, ':', ns, '->', nt, ':', id) END, type FROM mv WHERE ns <> nt AND ns IN (SELECT id FROM lf) AND nt IN (SELECT id FROM lf)""",
+    lambda g: both(*T.collapse(g.nodes, g.edges, groups(g))),
+)
+graph_query("collapse_stats", OWN + " SELECT owner, count(*) AS hidden FROM own GROUP BY owner", lambda g: T.owners(g.edges, groups(g)).groupBy("owner").agg(F.count("*").alias("hidden")))
+graph_query(
+    "api_propagation",
+    " SELECT DISTINCT c.source, a.target FROM edges c JOIN edges a ON c.target = a.source AND c.type = 'Calls' AND a.type = 'ApiCall' WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.type = 'ApiCall' AND x.source = c.source AND x.target = a.target)",
+    lambda g: T.api_propagation(g.edges),
+)
+
+FIELDS = "[lower(coalesce(label, '')), lower(coalesce(file, '')), lower(coalesce(module, '')), lower(coalesce(crate, '')), lower(type)]"
+for _name, _q in {"exact": "fn_7", "prefix": "fn_1", "substr": "building", "empty": ""}.items():
+    _score = "3" if not _q else f"CASE WHEN len(list_filter({FIELDS}, lambda f: f = '{_q}')) > 0 THEN 0 WHEN len(list_filter({FIELDS}, lambda f: starts_with(f, '{_q}'))) > 0 THEN 1 WHEN len(list_filter({FIELDS}, lambda f: contains(f, '{_q}'))) > 0 THEN 2 END"
+    graph_query(f"search_{_name}", f" SELECT id, label, score FROM (SELECT *, {_score} AS score FROM nodes) WHERE score IS NOT NULL ORDER BY score, label, seq LIMIT 30", lambda g, q=_q: K.search(g.nodes, q))
+
+for _name, _in in {"node_callers": True, "node_callees": False}.items():
+    _h, _t = ("target", "source") if _in else ("source", "target")
+    graph_query(_name, f" SELECT {_h} AS id, {_t} AS other, n.label AS other_label, e.type FROM edges e JOIN nodes n ON e.{_t} = n.id WHERE e.type IN ('Calls', 'EndpointHandler')", lambda g, i=_in: K.neighbours(g.nodes, g.edges, i))
+graph_query(
+    "related_types",
+    """, ab AS (SELECT source, target FROM edges WHERE type IN ('TypeReference', 'Implements')), pr AS (SELECT source AS id, source AS related FROM ab UNION SELECT source, target FROM ab UNION SELECT target, source FROM ab UNION SELECT target, target FROM ab)
+SELECT id, related FROM pr WHERE related IN (SELECT id FROM nodes WHERE type IN ('Struct', 'Enum', 'Trait', 'Impl', 'Interface', 'TypeAlias'))""",
+    lambda g: K.related_types(g.nodes, g.edges),
+)
+graph_query(
+    "references",
+    " SELECT DISTINCT target AS id, n.file, coalesce(n.line, 0) AS line, source AS from_id FROM edges e JOIN nodes n ON source = n.id WHERE e.type IN ('Calls', 'EndpointHandler', 'TypeReference', 'Uses', 'DataFlow') AND n.file IS NOT NULL",
+    lambda g: K.references(g.nodes, g.edges),
+)
+graph_query(
+    "endpoint_details",
+    " SELECT n.id, n.label AS route, coalesce(h, []) AS handlers FROM nodes n LEFT JOIN (SELECT source, list(DISTINCT target ORDER BY target) AS h FROM edges WHERE type = 'EndpointHandler' AND target IN (SELECT id FROM nodes) GROUP BY source) x ON n.id = source WHERE n.type = 'Endpoint'",
+    lambda g: K.endpoint_details(g.nodes, g.edges),
+)
+graph_query(
+    "endpoint_choice",
+    """, ep AS (SELECT * FROM nodes WHERE type = 'Endpoint' AND reachability IS DISTINCT FROM 'Detached'),
+lo AS (SELECT DISTINCT ep.id FROM ep JOIN edges e ON e.source = ep.id AND e.type = 'EndpointHandler' JOIN nodes h ON e.target = h.id WHERE h.file IS NOT DISTINCT FROM ep.file OR (h.crate IS NOT DISTINCT FROM ep.crate AND h.module IS NOT DISTINCT FROM ep.module)),
+sc AS (SELECT label AS route, id, CAST(100 + CASE WHEN id IN (SELECT id FROM lo) THEN 80 ELSE 0 END AS INTEGER) AS score FROM ep)
+SELECT route, id, score FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, id) AS p FROM sc) WHERE p = 1""",
+    lambda g: K.endpoint_choice(g.nodes, g.edges),
+)
+graph_query("ambiguous_routes", " SELECT label AS route, count(*) AS n FROM nodes WHERE type = 'Endpoint' AND reachability = 'Active' GROUP BY label HAVING count(*) > 1", lambda g: K.ambiguous_routes(g.nodes))
+graph_query(
+    "trace_edge",
+    f""", ch AS (SELECT * FROM edges WHERE type IN ('ApiCall', 'EndpointHandler')),
+rk AS (SELECT *, {RANK} + 1 + CASE type WHEN 'ApiCall' THEN 4 WHEN 'EndpointHandler' THEN 4 WHEN 'DataFlow' THEN 3 WHEN 'Calls' THEN 2 ELSE 1 END + CASE WHEN evidence IS NULL THEN 0 ELSE 1 END AS r FROM edges),
+tc AS (SELECT id, r, source AS e FROM rk UNION SELECT id, r, target FROM rk),
+st AS (SELECT id AS trace, 0 AS stage, source AS ref, 'Source' AS kind, 0 AS r FROM ch UNION ALL SELECT id, 1, id, 'Edge', 0 FROM ch UNION ALL SELECT id, 2, target, 'Target', 0 FROM ch
+ UNION ALL SELECT DISTINCT ch.id, 3, tc.id, 'Related', tc.r FROM ch JOIN tc ON tc.e IN (ch.source, ch.target) WHERE tc.id <> ch.id)
+SELECT trace, CAST(p AS INTEGER) AS step_no, kind, ref FROM (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY stage, r DESC, ref) AS p FROM st) WHERE p <= 20""",
+    lambda g: K.edge_trace(g.nodes, g.edges, g.edges.where("type IN ('ApiCall', 'EndpointHandler')").select("id")),
+)
+graph_query(
+    "file_rollup",
+    DEGREE + """ SELECT f.file AS path, coalesce(c, 0) AS functions, f.connections AS links, CASE WHEN coalesce(c, 0) <= 5 THEN 'low' WHEN c <= 14 THEN 'medium' ELSE 'high' END AS complexity
+ FROM full_nodes f LEFT JOIN (SELECT file, count(*) AS c FROM nodes WHERE type IN ('Function', 'Method', 'Component', 'Hook', 'Endpoint') GROUP BY file) x ON f.file = x.file WHERE f.type = 'File'""",
+    lambda g: K.file_rollup(g.nodes, g.edges),
+)
+graph_query(
+    "complexity_hist",
+    """ SELECT complexity, count(*) AS files FROM (SELECT CASE WHEN coalesce(c, 0) <= 5 THEN 'low' WHEN c <= 14 THEN 'medium' ELSE 'high' END AS complexity FROM nodes f
+ LEFT JOIN (SELECT file, count(*) AS c FROM nodes WHERE type IN ('Function', 'Method', 'Component', 'Hook', 'Endpoint') GROUP BY file) x ON f.file = x.file WHERE f.type = 'File') GROUP BY 1""",
+    lambda g: K.file_rollup(g.nodes, g.edges).groupBy("complexity").agg(F.count("*").alias("files")),
+)
+graph_query("files_by_package", " SELECT crate, count(*) AS n, list(file ORDER BY file) AS files FROM nodes WHERE type = 'File' GROUP BY crate", lambda g: g.nodes.where("type = 'File'").groupBy("crate").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("file")).alias("files")))
+graph_query("language_counts", " SELECT language, type, count(*) AS n FROM nodes GROUP BY ALL", lambda g: g.nodes.groupBy("language", "type").agg(F.count("*").alias("n")))
+graph_query(
+    "project_tree",
+    " SELECT crate, module, count(*) AS files, min(seq) AS first_seen FROM nodes WHERE type = 'File' GROUP BY crate, module",
+    lambda g: g.nodes.where("type = 'File'").groupBy("crate", "module").agg(F.count("*").alias("files"), F.min("seq").alias("first_seen")),
+)
+graph_query(
+    "hotspots",
+    DEGREE + " SELECT id, connections FROM full_nodes WHERE type <> 'ExternalCrate' AND connections > 0 ORDER BY connections DESC, seq LIMIT 10",
+    lambda g: M.degree(g.nodes, g.edges).where("type <> 'ExternalCrate' AND connections > 0").orderBy(F.desc("connections"), "seq").limit(10).select("id", "connections"),
+)
+graph_query(
+    "detached_files",
+    " SELECT id, file FROM nodes WHERE type = 'File' AND language = 'rust' AND reachability = 'Detached' ORDER BY file, label LIMIT 200",
+    lambda g: g.nodes.where("type = 'File' AND language = 'rust' AND reachability = 'Detached'").orderBy("file", "label").limit(200).select("id", "file"),
+)
+graph_query(
+    "diag_severity",
+    """ SELECT file, count(*) FILTER (WHERE severity = 'Error') AS errors, count(*) FILTER (WHERE severity = 'Warning') AS warnings, count(*) FILTER (WHERE severity = 'Information') AS infos, count(*) FILTER (WHERE severity = 'Hint') AS hints,
+ CASE min(CASE severity WHEN 'Error' THEN 0 WHEN 'Warning' THEN 1 WHEN 'Information' THEN 2 ELSE 3 END) WHEN 0 THEN 'Error' WHEN 1 THEN 'Warning' WHEN 2 THEN 'Information' ELSE 'Hint' END AS worst FROM diagnostics GROUP BY file""",
+    lambda g: K.diagnostics_by_file(g.diagnostics),
+)
+graph_query("diag_by_file", " SELECT file, count(*) AS n, min(line) AS first_line FROM diagnostics GROUP BY file", lambda g: g.diagnostics.groupBy("file").agg(F.count("*").alias("n"), F.min("line").alias("first_line")))
+graph_query("diag_top", " SELECT id, file, severity FROM diagnostics WHERE severity = 'Error' ORDER BY file, id LIMIT 100", lambda g: g.diagnostics.where("severity = 'Error'").orderBy("file", "id").limit(100).select("id", "file", "severity"))
+OVERLAP = " SELECT d.id, n.id AS node_id, n.line FROM diagnostics d JOIN nodes n ON d.file = n.file AND n.line IS NOT NULL AND d.line BETWEEN n.line AND n.line + 19"
+graph_query("diag_overlap", f" SELECT id, node_id FROM ({OVERLAP})", lambda g: K.diagnostics_at_symbols(g.nodes, g.diagnostics))
+graph_query("diag_by_node", f" SELECT node_id, count(*) AS n FROM ({OVERLAP}) GROUP BY node_id", lambda g: K.diagnostics_at_symbols(g.nodes, g.diagnostics).groupBy("node_id").agg(F.count("*").alias("n")))
+graph_query(
+    "enclosing_symbol",
+    f", ov AS ({OVERLAP}), b AS (SELECT id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line DESC, node_id) AS p FROM ov) WHERE p = 1) SELECT d.id, coalesce(b.node_id, f.id) AS node_id FROM diagnostics d LEFT JOIN b ON d.id = b.id LEFT JOIN nodes f ON f.type = 'File' AND f.file = d.file",
+    lambda g: K.smallest_symbol(g.nodes, g.diagnostics),
+)
+graph_query(
+    "timeline",
+    " SELECT id, severity AS kind, ts FROM diagnostics WHERE severity IN ('Error', 'Warning')",
+    lambda g: g.diagnostics.where("severity IN ('Error', 'Warning')").select("id", F.col("severity").alias("kind"), "ts"),
+)
+graph_query(
+    "check_status",
+    """, c AS (SELECT project, count(*) AS run, count(*) FILTER (WHERE success) AS passed, count(*) FILTER (WHERE NOT success AND NOT skipped) AS failed, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE timed_out) AS timed_out FROM checks GROUP BY project)
+SELECT *, failed = 0 AND skipped = 0 AND timed_out = 0 AS clean, CASE WHEN failed > 0 OR timed_out > 0 THEN 'Error' WHEN skipped > 0 THEN 'Fallback' ELSE 'Ready' END AS status FROM c""",
+    lambda g: K.check_status(g.checks),
+)
+
+# A later snapshot: every seventh symbol is gone, every fifth has another label, and parts are copied.
+NEW = "SELECT seq, id, CASE WHEN seq % 5 = 0 THEN concat(label, '!') ELSE label END AS label, type, file FROM nodes WHERE NOT (type IN ('Function', 'Hook') AND seq % 7 = 0) UNION ALL SELECT seq + 10, concat(id, ':new'), label, type, file FROM nodes WHERE type = 'Trait'"
+
+
+def later(g):
+    label = F.when(F.col("seq") % 5 == 0, F.concat("label", F.lit("!"))).otherwise(F.col("label")).alias("label")
+    kept = g.nodes.where(~(F.col("type").isin("Function", "Hook") & (F.col("seq") % 7 == 0))).select("seq", "id", label, "type", "file")
+    return kept.union(g.nodes.where("type = 'Trait'").select(F.col("seq") + 10, F.concat("id", F.lit(":new")), "label", "type", "file"))
+
+
+graph_query(
+    "snapshot_diff",
+    f", nw AS ({NEW}) SELECT * FROM (SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN (o.label, o.type, o.file) IS DISTINCT FROM (n.label, n.type, n.file) THEN 'updated' END AS op, coalesce(o.id, n.id) AS id FROM nodes o FULL JOIN nw n ON o.id = n.id) WHERE op IS NOT NULL",
+    lambda g: K.diff(g.nodes, later(g), ["label", "type", "file"]),
+)
+
+
+def patched(g):
+    old, new = g.nodes.select("seq", "id", "label", "type", "file"), later(g)
+    ops = K.diff(old, new, ["label", "type", "file"])
+    some = lambda op: new.join(ops.where(F.col("op") == op), "id", "left_semi")
+    return K.apply_patch(old, g.edges, some("added"), some("updated"), ops.where("op = 'removed'").select("id"))
+
+
+graph_query("apply_patch_nodes", f" SELECT id, label, type FROM ({NEW})", lambda g: patched(g)[0].select("id", "label", "type"))
+graph_query(
+    "apply_patch_edges",
+    f", nw AS ({NEW}), gone AS (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM nw)) SELECT id, type FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone)",
+    lambda g: patched(g)[1].select("id", "type"),
+)
+graph_query(
+    "dataflow_ids",
+    """, df AS (SELECT source, target, kind, concat(trim(regexp_replace(coalesce(label, ''), '\\s+', ' ', 'g')), chr(10), trim(regexp_replace(coalesce(evidence, ''), '\\s+', ' ', 'g'))) AS t FROM edges WHERE type = 'DataFlow')
+SELECT concat('DataFlow:', source, '->', target, ':', kind, ':', CASE WHEN t = chr(10) THEN 'flow' ELSE lower(lpad(hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(CAST(length(hex(encode(t))) / 2 AS BIGINT)), lambda i: ('0x' || substr(hex(encode(t)), CAST(2 * i + 1 AS BIGINT), 2))::HUGEINT)),
+ lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) END) AS id FROM df""",
+    lambda g: g.edges.where("type = 'DataFlow'").select(F.concat(F.lit("DataFlow:"), "source", F.lit("->"), "target", F.lit(":"), "kind", F.lit(":"), C.flow_identity(F.col("label"), F.col("evidence"))).alias("id")),
+)
+graph_query(
+    "route_bridge",
+    """, cl AS (SELECT id AS call, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN 'get' ELSE 'post' END AS verb, concat('/api/orders/', CAST(seq % 60 AS STRING), '/') AS path FROM nodes WHERE type = 'Hook'),
+ep AS (SELECT id AS endpoint, label, substr(label, strpos(label, ' ') + 1) AS api FROM nodes WHERE type = 'Endpoint' AND reachability = 'Active'),
+su AS (SELECT call, endpoint FROM cl JOIN ep ON concat(upper(verb), ' ', rtrim(path, '/')) = label AND verb IS NOT NULL)
+SELECT call, endpoint, 'Semantic' AS confidence FROM su UNION ALL SELECT call, endpoint, 'Heuristic' FROM cl JOIN ep ON rtrim(path, '/') = api WHERE call NOT IN (SELECT call FROM su)""",
+    lambda g: K.route_bridge(
+        g.nodes.where("type = 'Hook'").select(F.col("id").alias("call"), F.expr("CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN 'get' ELSE 'post' END").alias("verb"), F.expr("concat('/api/orders/', CAST(seq % 60 AS STRING), '/')").alias("path")),
+        g.nodes.where("type = 'Endpoint' AND reachability = 'Active'").select(F.col("id").alias("endpoint"), "label"),
+    ),
+)
+
+
+def page_routes(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    return pages.select("page_id", C.route_key(F.lit(" get "), path).alias("route"), C.api_path(F.concat(F.lit("/api"), path)).alias("api"))
+
+
+QUERIES["route_keys"] = page_routes
+ORACLE_SQL["route_keys"] = """
+WITH p AS (SELECT page_id, rtrim(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/') AS b FROM pages)
+SELECT page_id, concat('GET ', CASE WHEN b = '' THEN '/' WHEN starts_with(b, '/') THEN b ELSE '/' || b END) AS route, CASE WHEN starts_with('/api' || b, '/api/') THEN '/api' || b END AS api FROM p"""
+
+
+def text_lines(spark, sf_dir, name, key):
+    return table(spark, sf_dir, name).select(*key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+QUERIES["brace_delta"] = lambda spark, d: text_lines(spark, d, "documents", ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(C.brace_delta(F.col("line"))).cast("bigint").alias("delta"))
+ORACLE_SQL["brace_delta"] = """
+SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, CAST(length(replace(text, '}', '')) - length(replace(text, '{', '')) AS BIGINT) AS delta FROM documents WHERE text IS NOT NULL"""
+
+QUERIES["stream_latest"] = lambda spark, d: replay(spark, d)
+ORACLE_SQL["stream_latest"] = """
+SELECT user_id, event_id, event_type, updates FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p, count(*) OVER (PARTITION BY user_id) AS updates FROM events) WHERE p = 1"""
