@@ -80,21 +80,47 @@ def thaw(blob: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
+def parcels(batches):
+    """Rows (id, text, block) -> rows (block, ids, texts): what a batch has for one block, compressed together."""
+    for b in batches:
+        block = b["block"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]))
+        out = {"block": [], "ids": [], "texts": []}
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            texts = [(t or "").encode() for t in b["text"].take(pa.array(order[lo:hi])).to_pylist()]
+            out["block"].append(int(block[order[lo]]))
+            out["ids"].append(b["id"].take(pa.array(order[lo:hi])).to_pylist())
+            out["texts"].append(freeze(np.array([len(t) for t in texts], "<u4"), b"".join(texts)))
+        yield pa.record_batch({"block": pa.array(out["block"], pa.int32()), "ids": pa.array(out["ids"], pa.list_(b["id"].type)), "texts": pa.array(out["texts"], pa.binary())})
+
+
+def texts_of(group: pa.Table):
+    """The texts of a block's parcels, one after the other."""
+    for blob in group["texts"]:
+        sizes, data = thaw(blob.as_py(), 2)
+        ends = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)))
+        for a, z in zip(ends[:-1], ends[1:]):
+            yield data[a:z].decode()
+
+
 def distinct_words(texts, added, buckets: int) -> tuple[list[str], np.ndarray]:
     """A block's distinct words by (bucket, word), and where each bucket begins."""
     seen: set[str] = set()
     for t in texts:
-        seen.update(words_of(t.as_py(), added))
+        seen.update(words_of(t, added))
     words = sorted(seen)
     at = np.fromiter((xxhash.xxh64_intdigest(w.encode()) % buckets for w in words), np.int64, len(words))
     order = np.argsort(at, kind="stable")
     return [words[k] for k in order], np.searchsorted(at[order], np.arange(buckets + 1))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 10 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """(id, ids array<int>) for every row of docs, as the tokenizers library encodes whole texts without adding tokens.
 
-    Documents are dealt into blocks. Each block sends its distinct words to the tasks that own
+    Documents are dealt into blocks, compressed. Each block sends its distinct words to the tasks that own
     them by hash, compressed; there each distinct word is encoded once for all blocks and its ids
     go back to the blocks that asked, in the order in which they asked. A block then looks up each
     position's word. Both passes over the texts read the same exchange, and the corpus-wide
@@ -111,10 +137,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     buckets = 2 * blocks
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"))
-    rows = rows.repartition(blocks, "block")
+    rows = rows.mapInArrow(parcels, f"block int, ids array<{kind}>, texts binary").repartition(blocks, "block")
 
     def ask(group: pa.Table) -> pa.Table:
-        words, cuts = distinct_words(group["text"], loaded(spec.value)[1], buckets)
+        words, cuts = distinct_words(texts_of(group), loaded(spec.value)[1], buckets)
         full = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
         raw = [[w.encode() for w in words[cuts[b] : cuts[b + 1]]] for b in full]
         return pa.table(
@@ -147,16 +173,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def join(group: pa.Table, replies: pa.Table) -> pa.Table:
         added = loaded(spec.value)[1]
-        words, _ = distinct_words(group["text"], added, buckets)
+        words, _ = distinct_words(texts_of(group), added, buckets)
         parts = [thaw(blob, 2) for blob in replies.sort_by("bucket")["ids"].to_pylist()]
         sizes = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p[0], "<u4") for p in parts)])
         flat = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p[1], "<u4") for p in parts)]).astype(np.int32)
         table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
         place = {w: k for k, w in enumerate(words)}
-        out = [table.take(pa.array([place[w] for w in words_of(t.as_py(), added)], pa.int64())).flatten() for t in group["text"]]
+        out = [table.take(pa.array([place[w] for w in words_of(t, added)], pa.int64())).flatten() for t in texts_of(group)]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in out])))
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *out]))
-        return pa.table({"id": group["id"], "ids": ids})
+        own = group["ids"].combine_chunks().flatten() if group.num_rows else pa.array([], group["ids"].type.value_type)
+        return pa.table({"id": own, "ids": ids})
 
     asked = rows.groupBy("block").applyInArrow(ask, "block int, bucket int, words binary")
     answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block int, bucket int, ids binary")
