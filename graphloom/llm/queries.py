@@ -102,10 +102,10 @@ s{k} AS (SELECT s.* EXCLUDE (tpl), CASE WHEN len(segs) >= {k} THEN s.tpl || '/'
 b AS (SELECT host, tpl, regexp_replace(tpl, '^/[^/]*', '/*') AS parent, count(good) AS n, coalesce(sum(1 - good), 0) AS bad FROM t GROUP BY 1, 2),
 c AS (SELECT *, coalesce(sum(bad) OVER w / nullif(sum(n) OVER w, 0), 0) AS common FROM b WINDOW w AS (PARTITION BY host, parent)),
 m AS (SELECT *, CASE WHEN n = 0 OR abs(bad / n - common) <= 1.96 * sqrt(common * (1 - common) / n) THEN parent ELSE tpl END AS final FROM c),
-f AS (SELECT *, (sum(bad) OVER w + 10 * (SELECT coalesce(avg(1 - good), 0) FROM t)) / (sum(n) OVER w + 10) AS share FROM m WINDOW w AS (PARTITION BY host, final)),
+f AS (SELECT *, (sum(bad) OVER w + 10 * (SELECT coalesce(avg(1 - good), 0) FROM t)) / (sum(n) OVER w + 10) AS share, sum(n) OVER w AS n_f FROM m WINDOW w AS (PARTITION BY host, final)),
 rules(rule, verdict, h, pre) AS (VALUES {", ".join(f"('{h}{p}', '{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
 fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM t JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY 1)
-SELECT t.page_id, t.host, path, rule, coalesce(verdict, CASE WHEN share > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, final AS template, round(share, 9) AS bad_share
+SELECT t.page_id, t.host, path, rule, coalesce(verdict, CASE WHEN n_f > 0 AND share > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, final AS template, round(share, 9) AS bad_share
 FROM t JOIN f ON t.host = f.host AND t.tpl = f.tpl LEFT JOIN fit ON t.page_id = fit.page_id""")
     return "WITH " + ",\n".join(steps)
 

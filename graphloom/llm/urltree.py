@@ -68,8 +68,8 @@ def judge_urls(
     starts with the rule's), else the template tree's: urls are counted into templates per host;
     sibling branches, which differ in their first literal alone, merge if their labelled share of
     bad pages is within merge_z standard errors of the siblings' common share; a template is
-    blocked if its share, smoothed by prior_weight pages of the overall share, is above
-    reject_above. labels gives some pages a 1 (good) or 0 (bad); the largest of several counts.
+    blocked if it has labelled pages and their share of bad ones, smoothed by prior_weight pages of
+    the overall share, is above reject_above. labels gives some pages a 1 (good) or 0 (bad); the largest of several counts.
 
     Per host and template all is counted by aggregation, so a host with a third of all urls is as
     good as any. A null url, or one without "://", has host and path ''. A page without a label,
@@ -89,7 +89,7 @@ def judge_urls(
     final = merged.groupBy("host", "final").agg(F.sum("n").alias("n_f"), F.sum("bad").alias("bad_f"))
     prior = rows.agg(F.coalesce(F.avg(1 - F.col("good")), F.lit(0.0)).alias("prior"))
     share = (F.col("bad_f") + prior_weight * F.col("prior")) / (F.col("n_f") + prior_weight)
-    judged = merged.join(final, ["host", "final"]).crossJoin(F.broadcast(prior)).select("host", "template", "final", share.alias("bad_share"))
+    judged = merged.join(final, ["host", "final"]).crossJoin(F.broadcast(prior)).select("host", "template", "final", "n_f", share.alias("bad_share"))
     out = rows.join(judged, ["host", "template"]).withColumn("own", longest_rule(rules))
-    verdict = F.coalesce("own.verdict", F.when(F.col("bad_share") > reject_above, "block").otherwise("allow"))
+    verdict = F.coalesce("own.verdict", F.when((F.col("n_f") > 0) & (F.col("bad_share") > reject_above), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.col("final").alias("template"), "bad_share")
