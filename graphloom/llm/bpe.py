@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import parallelism
+from graphloom.llm.common import parallelism, short_batches
 
 #: White space as Unicode has it (Python's own \s also takes in U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -81,8 +81,19 @@ def thaw(blob: bytes, n: int) -> list[bytes]:
 
 
 def parcels(batches):
-    """Rows (id, text, block) -> rows (block, ids, texts): what a batch has for one block, compressed together."""
-    for b in batches:
+    """Rows (id, text, block) -> rows (block, ids, texts): what some 16 MB of rows have for one block, compressed together."""
+
+    def filled():
+        held, size = [], 0
+        for b in batches:
+            held, size = [*held, b], size + b.nbytes
+            if size > 16 << 20:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    for b in filled():
         block = b["block"].to_numpy()
         order = np.argsort(block, kind="stable")
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]))
@@ -94,7 +105,7 @@ def parcels(batches):
             out["block"].append(int(block[order[lo]]))
             out["ids"].append(b["id"].take(pa.array(order[lo:hi])).to_pylist())
             out["texts"].append(freeze(np.array([len(t) for t in texts], "<u4"), b"".join(texts)))
-        yield pa.record_batch({"block": pa.array(out["block"], pa.int32()), "ids": pa.array(out["ids"], pa.list_(b["id"].type)), "texts": pa.array(out["texts"], pa.binary())})
+        yield pa.record_batch({"block": pa.array(out["block"], pa.int32()), "ids": pa.array(out["ids"], pa.list_(b.schema.field("id").type)), "texts": pa.array(out["texts"], pa.binary())})
 
 
 def texts_of(group: pa.Table):
@@ -131,6 +142,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     read; no rows give no rows. A text is held whole by one task, as any single value is.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     spec = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(parallelism(spark), math.ceil(total / block_bytes))

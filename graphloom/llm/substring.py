@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import packed
-from graphloom.llm.common import parallelism
+from graphloom.llm.common import parallelism, short_batches
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd: a bijection of the 64-bit integers
 
@@ -110,6 +110,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     read; no rows give no rows. Hashes are 64 bits wide: among n windows a false match has
     probability below n^2 / 2^65.
     """
+    short_batches(docs.sparkSession)
     block, blocks = id_blocks(docs, block_bytes, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), block.alias("block"))

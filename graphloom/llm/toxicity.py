@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint
+from graphloom.llm.common import checkpoint, short_batches
 
 #: At most so many labelled rows fit the model, taken by a hash of their id.
 MAX_FIT_ROWS = 20_000
@@ -51,7 +51,7 @@ class Codes(dict):
         self.lexicon, self.strong = lexicon, strong
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         core = word.strip(EDGE)
         hidden = any(not c.isalpha() for c in core) and any(c.isalpha() for c in core)
@@ -167,7 +167,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     marks = marks.withColumn("fold", fold(F.col("id"))).where("fold <> 2")
     fit_rows = F.broadcast(marks.orderBy(F.xxhash64("id"), "id").limit(max_fit_rows))  # bounded by its limit
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    short_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = checkpoint(own.select("id", "text").join(fit_rows, "id").repartition(16))
     lexicon = learn_lexicon(texts.where("fold < 2"))
     strong = float(np.quantile(list(lexicon.values()), 0.5)) if lexicon else math.inf
@@ -177,15 +178,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         def run(batches):
             codes = Codes(shared.value, strong)
             for b in batches:
-                rows = [features(t.as_py(), codes) for t in b.column("text")]
+                texts = b.column("row").field(text_col) if "row" in keep.split() else b.column("text")
+                rows = [features(t.as_py(), codes) for t in texts]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep.split()), pa.array(rows, pa.list_(pa.float64()))], names=[*keep.split(), "features"])
 
-        return frame.select(*keep.split(), "text").mapInArrow(run, schema + ", features array<double>")
+        return frame.mapInArrow(run, schema + ", features array<double>")
 
     vector = lambda frame: frame.withColumn("features", array_to_vector("features"))
-    train = checkpoint(dense(texts, "toxic fold", "toxic int, fold int"))
+    train = checkpoint(dense(texts.select("toxic", "fold", "text"), "toxic fold", "toxic int, fold int"))
     kind = docs.schema[id_col].dataType.simpleString()
     more = ["row"] if carry else []
+    if carry:
+        own = docs.select(F.col(id_col).alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     every = dense(own, " ".join(["id", *more]), f"id {kind}" + (f", row {own.schema['row'].dataType.simpleString()}" if carry else ""))
     kinds = {(r["fold"] < 2, r["toxic"]): r["count"] for r in train.groupBy("fold", "toxic").count().collect()}
     held = F.coalesce(fold(F.col("id")) == 2, F.lit(False))
