@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import parallelism, short_batches
+from graphloom.llm.common import parallelism, short_batches, trim
 
 #: White space as Unicode has it (Python's own \s also takes in U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -37,17 +37,23 @@ def read_tokenizer(path: str) -> str:
     return text
 
 
+@functools.lru_cache(2)
+def added_pattern(text: str):
+    """What finds added tokens in a text, None without any."""
+    added = sorted((t["content"] for t in json.loads(text)["added_tokens"]), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+
+
 @functools.lru_cache(2)
 def loaded(text: str):
-    """(tokenizer, pattern of added tokens or None), once a worker."""
+    """The tokenizer, once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(text)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    added = sorted((t["content"] for t in json.loads(text)["added_tokens"]), key=len, reverse=True)
-    return tokenizer, re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+    return tokenizer
 
 
 @functools.lru_cache(2)
@@ -152,7 +158,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     rows = rows.mapInArrow(parcels, f"block int, ids array<{kind}>, texts binary").repartition(blocks, "block")
 
     def ask(group: pa.Table) -> pa.Table:
-        words, cuts = distinct_words(texts_of(group), loaded(spec.value)[1], buckets)
+        words, cuts = distinct_words(texts_of(group), added_pattern(spec.value), buckets)
         full = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
         raw = [[w.encode() for w in words[cuts[b] : cuts[b + 1]]] for b in full]
         return pa.table(
@@ -164,7 +170,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         )
 
     def answer(group: pa.Table) -> pa.Table:
-        tokenizer, _ = loaded(spec.value)
+        tokenizer = loaded(spec.value)
         place: dict[bytes, int] = {}
         asked = []
         for blob in group["words"].to_pylist():
@@ -184,16 +190,21 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         return pa.table({"block": group["block"].cast(pa.int32()), "bucket": group["bucket"].cast(pa.int32()), "ids": pa.array(out, pa.binary())})
 
     def join(group: pa.Table, replies: pa.Table) -> pa.Table:
-        added = loaded(spec.value)[1]
+        added = added_pattern(spec.value)
         words, _ = distinct_words(texts_of(group), added, buckets)
         parts = [thaw(blob, 2) for blob in replies.sort_by("bucket")["ids"].to_pylist()]
         sizes = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p[0], "<u4") for p in parts)])
         flat = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p[1], "<u4") for p in parts)]).astype(np.int32)
         table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
         place = {w: k for k, w in enumerate(words)}
-        out = [table.take(pa.array([place[w] for w in words_of(t, added)], pa.int64())).flatten() for t in texts_of(group)]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in out])))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *out]))
+        del words, parts, sizes, flat
+        wanted = [np.fromiter((place[w] for w in words_of(t, added)), np.int32) for t in texts_of(group)]
+        del place
+        ends = np.concatenate(([0], np.cumsum([len(w) for w in wanted], dtype=np.int64)))
+        found = table.take(pa.array(np.concatenate([np.zeros(0, np.int32), *wanted])))
+        ids = pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[ends], pa.int32()), found.flatten())
+        del wanted, found
+        trim()
         own = group["ids"].combine_chunks().flatten() if group.num_rows else pa.array([], group["ids"].type.value_type)
         return pa.table({"id": own, "ids": ids})
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,13 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and what they keep counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), in place where it can be."""
     h = h ^ (h >> np.uint64(30))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import packed
-from graphloom.llm.common import checkpoint, mix64, parallelism, short_batches
+from graphloom.llm.common import checkpoint, mix64, parallelism, short_batches, trim
 from graphloom.llm.components import connected_components
 
 SEED = 42
@@ -38,6 +38,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     def run(batches):
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.int64())], names=[id_col, "fp"])
+        trim()
 
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, short_batches
+from graphloom.llm.common import checkpoint, short_batches, trim
 
 #: At most so many labelled rows fit the model, taken by a hash of their id.
 MAX_FIT_ROWS = 20_000
@@ -181,6 +181,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 texts = b.column("row").field(text_col) if "row" in keep.split() else b.column("text")
                 rows = [features(t.as_py(), codes) for t in texts]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep.split()), pa.array(rows, pa.list_(pa.float64()))], names=[*keep.split(), "features"])
+            del codes
+            trim()
 
         return frame.mapInArrow(run, schema + ", features array<double>")
 
