@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.functions.session import table
+from graphloom.functions.session import checkpoint, table
 from graphloom.operators import catalog as K
+from graphloom.operators import lenses as L
 from graphloom.operators import modes as M
+from graphloom.operators import traces as X
 from graphloom.operators import traverse as T
 from graphloom.plans.driver_graph import TERA, duckdb_ctes, load
 from graphloom.streaming.diagnostics import replay
@@ -309,3 +311,62 @@ SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, CAST(length(replace(
 QUERIES["stream_latest"] = lambda spark, d: replay(spark, d)
 ORACLE_SQL["stream_latest"] = """
 SELECT user_id, event_id, event_type, updates FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p, count(*) OVER (PARTITION BY user_id) AS updates FROM events) WHERE p = 1"""
+
+
+STEP_KIND = "CASE type WHEN 'ApiCall' THEN 'ApiRequest' WHEN 'EndpointHandler' THEN 'EndpointHandler' WHEN 'Calls' THEN 'ServiceCall' WHEN 'DataFlow' THEN CASE WHEN kind IN ('ReturnValue', 'ModelUse') THEN kind ELSE 'Unknown' END END"
+RANKED = f""", ok AS (SELECT id, reachability IS DISTINCT FROM 'Detached' AS ok FROM nodes),
+rk AS (SELECT e.*, {RANK} + 1 + CASE type WHEN 'ApiCall' THEN 4 WHEN 'EndpointHandler' THEN 4 WHEN 'DataFlow' THEN 3 WHEN 'Calls' THEN 2 ELSE 1 END + CASE WHEN evidence IS NULL THEN 0 ELSE 1 END AS r,
+ coalesce(s.ok, true) AS so, coalesce(t.ok, true) AS tk, s.id IS NOT NULL AS sn, t.id IS NOT NULL AS tn FROM edges e LEFT JOIN ok s ON e.source = s.id LEFT JOIN ok t ON e.target = t.id)"""
+NUMBERED = """, ft AS (SELECT *, row_number() OVER (PARTITION BY trace, kind, ref ORDER BY stage, orank DESC, oid, inn, r DESC, ref) AS f FROM st)
+SELECT trace, CAST(p AS INTEGER) AS step_no, kind, ref FROM (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY stage, orank DESC, oid, inn, r DESC, ref) AS p FROM ft WHERE f = 1) WHERE p <= 20"""
+graph_query(
+    "trace_node",
+    RANKED + f""", ro AS (SELECT * FROM nodes WHERE type <> 'Endpoint'), lk AS (SELECT *, {STEP_KIND} AS sk FROM rk WHERE type IN ('DataFlow', 'Calls', 'ApiCall', 'EndpointHandler')),
+st AS (SELECT id AS trace, 0 AS stage, 0 AS orank, '' AS oid, 0 AS inn, 0 AS r, id AS ref, CASE WHEN reachability = 'Detached' THEN 'DetachedSource' WHEN reachability = 'External' OR type = 'ExternalCrate' THEN 'ExternalDependency' ELSE 'Unknown' END AS kind FROM ro
+UNION ALL SELECT ro.id, 1, 0, '', 0, r, lk.id, sk FROM ro JOIN lk ON ro.id = lk.source WHERE tk
+UNION ALL SELECT ro.id, 1, 0, '', 0, r, lk.id, sk FROM ro JOIN lk ON ro.id = lk.target AND lk.source <> lk.target WHERE so)""" + NUMBERED,
+    lambda g: X.node_traces(g.nodes, g.edges),
+)
+graph_query(
+    "trace_route",
+    RANKED + f""", ep AS (SELECT * FROM nodes WHERE type = 'Endpoint'), ap AS (SELECT rk.* FROM rk JOIN ep ON rk.target = ep.id WHERE rk.type = 'ApiCall'),
+hd AS (SELECT rk.* FROM rk JOIN ep ON rk.source = ep.id WHERE rk.type = 'EndpointHandler'),
+rs AS (SELECT *, {STEP_KIND} AS sk FROM rk WHERE type = 'DataFlow' AND kind IN ('ReturnValue', 'ModelUse', 'ApiResponse')),
+st AS (SELECT id AS trace, 0 AS stage, 0 AS orank, '' AS oid, 0 AS inn, 0 AS r, id AS ref, 'DetachedSource' AS kind FROM ep WHERE reachability = 'Detached'
+UNION ALL SELECT target, 1, r, id, 0, 0, source, 'Caller' FROM ap WHERE so AND sn
+UNION ALL SELECT target, 1, r, id, 1, 0, id, 'ApiRequest' FROM ap WHERE so
+UNION ALL SELECT id, 3, 0, '', 0, 0, id, 'Endpoint' FROM ep
+UNION ALL SELECT source, 4, r, id, 0, 0, id, 'EndpointHandler' FROM hd WHERE tk OR target = source
+UNION ALL SELECT source, 4, r, id, 1, 0, target, 'BackendHandler' FROM hd WHERE tn AND (tk OR target = source)
+UNION ALL SELECT hd.source, 4, hd.r, hd.id, 2, c.r, c.id, 'ServiceCall' FROM hd JOIN rk c ON c.source = hd.target AND c.type = 'Calls' WHERE hd.tn AND (c.so OR c.source = hd.source) AND (c.tk OR c.target = hd.source)
+UNION ALL SELECT hd.source, 4, hd.r, hd.id, 3, c.r, c.id, c.sk FROM hd JOIN rs c ON c.source = hd.target OR c.target = hd.target OR c.target = hd.source WHERE hd.tn AND (c.so OR c.source = hd.source) AND (c.tk OR c.target = hd.source))""" + NUMBERED,
+    lambda g: X.route_traces(g.nodes, g.edges),
+)
+SEEDS = """, ac AS (SELECT * FROM edges WHERE type = 'ApiCall' AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+en AS (SELECT * FROM nodes WHERE id IN (SELECT source FROM ac UNION SELECT target FROM ac)),
+sd AS (SELECT id FROM en UNION SELECT id FROM nodes WHERE type = 'File' AND file IN (SELECT file FROM en) UNION SELECT id FROM nodes WHERE type = 'Module' AND crate IN (SELECT crate FROM en))"""
+
+
+def lens_sql(kind: str) -> str:
+    if kind == "architecture":
+        keep = ", kp AS (SELECT id FROM sd UNION SELECT id FROM nodes WHERE type IN ('Module', 'File', 'Endpoint'))"
+    else:
+        keep = """, wy AS (SELECT target AS a, source AS b FROM edges WHERE type = 'Contains' UNION SELECT source, target FROM edges WHERE type = 'EndpointHandler' UNION SELECT source, target FROM edges WHERE type = 'Calls' AND target IN (SELECT id FROM nodes WHERE type = 'Endpoint')),
+kp AS (SELECT id FROM sd UNION SELECT b FROM kp JOIN wy ON kp.id = wy.a)"""
+    return SEEDS + keep + f""", kn AS (SELECT id, type FROM nodes WHERE id IN (SELECT id FROM kp))
+SELECT 'node' AS part, id, type FROM kn UNION ALL SELECT 'edge', id, type FROM edges WHERE type IN ({quoted(L.SHOWN[kind])}) AND source IN (SELECT id FROM kn) AND target IN (SELECT id FROM kn)"""
+
+
+for _kind in L.SHOWN:
+    graph_query(f"lens_{_kind}", lens_sql(_kind), lambda g, k=_kind: both(*L.lens(checkpoint(g.nodes), checkpoint(g.edges), k)))
+graph_query(
+    "route_flow",
+    """, lo AS (SELECT id FROM nodes WHERE reachability = 'Detached'), ac AS (SELECT * FROM edges WHERE type = 'ApiCall' AND source NOT IN (SELECT id FROM lo) AND target NOT IN (SELECT id FROM lo)),
+hd AS (SELECT * FROM edges WHERE type = 'EndpointHandler' AND target NOT IN (SELECT id FROM lo) AND source IN (SELECT target FROM ac)), cl AS (SELECT * FROM edges WHERE type = 'Calls' AND source IN (SELECT target FROM hd)),
+fl AS (SELECT * FROM edges WHERE type = 'DataFlow'), wy AS (SELECT source AS a, target AS b FROM fl UNION SELECT target, source FROM fl),
+rc AS (SELECT source AS id FROM ac UNION SELECT target FROM ac UNION SELECT target FROM hd UNION SELECT target FROM cl UNION SELECT b FROM rc JOIN wy ON rc.id = wy.a),
+ee AS (SELECT id, source, target, type FROM edges WHERE id IN (SELECT id FROM ac UNION SELECT id FROM hd UNION SELECT id FROM cl UNION SELECT id FROM fl WHERE source IN (SELECT id FROM rc)))
+SELECT 'node' AS part, id, type FROM nodes WHERE id NOT IN (SELECT id FROM lo) AND (id IN (SELECT id FROM rc) OR (type = 'Endpoint' AND id IN (SELECT source FROM edges WHERE type = 'ApiCall' UNION SELECT target FROM edges WHERE type = 'ApiCall')))
+UNION ALL SELECT 'edge', id, type FROM ee WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)""",
+    lambda g: both(*L.route_flow(checkpoint(g.nodes), checkpoint(g.edges))),
+)
