@@ -106,3 +106,25 @@ def api_propagation(edges: DataFrame) -> DataFrame:
 
 def first_by_seq(rows: DataFrame, *key: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).where("place = 1").drop("place")
+
+
+def reachable_from(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, roots): for every node that roots (id) reach along steps (a, b), the sorted roots that reach it, each itself included."""
+    steps = checkpoint(steps.distinct())
+    seen = frontier = checkpoint(roots.select(F.col("id").alias("root"), "id").distinct())
+    while True:
+        met = frontier.withColumnRenamed("id", "a").join(steps, "a").select("root", F.col("b").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
+        frontier = checkpoint(met)
+        if not frontier.take(1):
+            return seen.groupBy("id").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+        seen = seen.unionByName(frontier)
+
+
+def group_links(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(owner, incoming, outgoing): the sorted types of edges that cross each collapsed group's border; own is (id, owner)."""
+    both = edges.join(own.select(F.col("id").alias("source"), F.col("owner").alias("s")), "source", "left").join(own.select(F.col("id").alias("target"), F.col("owner").alias("t")), "target", "left")
+    cross = ~F.col("s").eqNullSafe(F.col("t"))
+    out = both.where(cross & F.col("s").isNotNull() & (F.col("target") != F.col("s"))).select(F.col("s").alias("owner"), F.col("type").alias("outgoing"), F.lit(None).cast("string").alias("incoming"))
+    into = both.where(cross & F.col("t").isNotNull() & (F.col("source") != F.col("t"))).select(F.col("t").alias("owner"), F.lit(None).cast("string"), F.col("type"))
+    sets = out.union(into).groupBy("owner").agg(F.array_sort(F.collect_set("incoming")).alias("incoming"), F.array_sort(F.collect_set("outgoing")).alias("outgoing"))
+    return sets

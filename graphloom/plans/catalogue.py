@@ -370,3 +370,16 @@ SELECT 'node' AS part, id, type FROM nodes WHERE id NOT IN (SELECT id FROM lo) A
 UNION ALL SELECT 'edge', id, type FROM ee WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)""",
     lambda g: both(*L.route_flow(checkpoint(g.nodes), checkpoint(g.edges))),
 )
+graph_query(
+    "reachability_roots",
+    """, rt AS (SELECT id AS root, id FROM nodes WHERE module = 'crate root' UNION SELECT root, target FROM rt JOIN edges ON rt.id = source WHERE type IN ('Contains', 'ExternalDependency'))
+SELECT id, list(root ORDER BY root) AS roots FROM rt GROUP BY id""",
+    lambda g: T.reachable_from(g.edges.where("type IN ('Contains', 'ExternalDependency')").select(F.col("source").alias("a"), F.col("target").alias("b")), g.nodes.where("module = 'crate root'").select("id")),
+)
+graph_query(
+    "collapse_links",
+    OWN + """, bt AS (SELECT source, target, type, s.owner AS s, t.owner AS t FROM edges LEFT JOIN own s ON source = s.id LEFT JOIN own t ON target = t.id),
+cx AS (SELECT s AS owner, NULL AS incoming, type AS outgoing FROM bt WHERE s IS DISTINCT FROM t AND s IS NOT NULL AND target <> s UNION SELECT t, type, NULL FROM bt WHERE s IS DISTINCT FROM t AND t IS NOT NULL AND source <> t)
+SELECT owner, list_sort(coalesce(list(DISTINCT incoming) FILTER (WHERE incoming IS NOT NULL), [])) AS incoming, list_sort(coalesce(list(DISTINCT outgoing) FILTER (WHERE outgoing IS NOT NULL), [])) AS outgoing FROM cx GROUP BY owner""",
+    lambda g: T.group_links(g.edges, checkpoint(T.owners(g.edges, groups(g)))),
+)
