@@ -9,6 +9,7 @@ from graphloom.functions.session import checkpoint, table
 from graphloom.operators import catalog as K
 from graphloom.operators import lenses as L
 from graphloom.operators import modes as M
+from graphloom.operators import modules as P
 from graphloom.operators import traces as X
 from graphloom.operators import traverse as T
 from graphloom.plans.driver_graph import TERA, duckdb_ctes, load
@@ -383,3 +384,36 @@ cx AS (SELECT s AS owner, NULL AS incoming, type AS outgoing FROM bt WHERE s IS
 SELECT owner, list_sort(coalesce(list(DISTINCT incoming) FILTER (WHERE incoming IS NOT NULL), [])) AS incoming, list_sort(coalesce(list(DISTINCT outgoing) FILTER (WHERE outgoing IS NOT NULL), [])) AS outgoing FROM cx GROUP BY owner""",
     lambda g: T.group_links(g.edges, checkpoint(T.owners(g.edges, groups(g)))),
 )
+
+
+def document_snippets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = F.col("doc_id").cast("string").alias("path")
+    found = P.snippets(docs.select(path, "text"), docs.select(path, (F.col("doc_id") % 40 + 1).cast("int").alias("line")))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), "start_line", "end_line", "code")
+
+
+QUERIES["snippets"] = document_snippets
+ORACLE_SQL["snippets"] = f"""
+WITH d AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\\n$', ''), chr(10)), lambda x: regexp_replace(x, '\\r$', '')) AS l FROM documents WHERE text <> '' AND strpos(text, chr(0)) = 0),
+c AS (SELECT *, len(l) AS n, least(doc_id % 40 + 1, len(l)) AS k FROM d), s AS (SELECT doc_id, CAST(greatest(k - 6, 1) AS INTEGER) AS start_line, CAST(least(k + 8, n) AS INTEGER) AS end_line, l FROM c),
+t AS (SELECT doc_id, start_line, end_line, array_to_string(l[start_line:end_line], chr(10)) AS code FROM s)
+SELECT doc_id, start_line, end_line, CASE WHEN strlen(code) <= {P.SNIPPET_BYTES} THEN code ELSE coalesce({", ".join(f"TRY(decode(encode(code)[1:{k}]))" for k in range(P.SNIPPET_BYTES, P.SNIPPET_BYTES - 4, -1))}) END AS code FROM t"""
+
+
+def file_imports(g):
+    files = g.nodes.where("type = 'File' AND language IN ('typescript', 'python')").withColumn("name", F.expr(f"concat('Customer#', lpad(CAST(seq - 3 * {TERA} + 4 AS STRING), 9, '0'))"))
+    specifier = F.explode(F.when(F.col("language") == "python", F.array("name")).otherwise(F.array(F.concat(F.lit("./"), "name"), F.concat(F.lit("../building/./"), "name", F.lit(".tsx")))))
+    asked = files.select(F.col("file").alias("path"), "language", specifier.alias("specifier"), F.lit(1).alias("level"))
+    return P.resolve_imports(asked, g.nodes.where("type = 'File'").select(F.col("file").alias("path"))).select("path", "specifier", "target")
+
+
+graph_query(
+    "import_targets",
+    f""", fs AS (SELECT file AS path, language, regexp_replace(file, '/[^/]*$', '') AS dir, concat('Customer#', lpad(CAST(seq - 3 * {TERA} + 4 AS VARCHAR), 9, '0')) AS name FROM nodes WHERE type = 'File' AND language IN ('typescript', 'python')),
+sp AS (SELECT path, './' || name AS specifier, dir || '/' || name AS base FROM fs WHERE language = 'typescript' UNION ALL SELECT path, '../building/./' || name || '.tsx', 'src/building/' || name || '.tsx' FROM fs WHERE language = 'typescript'
+UNION ALL SELECT path, name, dir || '/' || name FROM fs WHERE language = 'python'),
+en(place, ending, python) AS (VALUES {", ".join(f"({n}, '{e}', {py})" for py, known in ((False, P.TYPESCRIPT_ENDINGS), (True, P.PYTHON_ENDINGS)) for n, e in enumerate(known))})
+SELECT sp.path, specifier, min_by(base || ending, place) AS target FROM sp JOIN fs ON sp.path = fs.path JOIN en ON en.python = (fs.language = 'python') JOIN (SELECT DISTINCT file FROM nodes WHERE type = 'File') f ON f.file = base || ending GROUP BY sp.path, specifier""",
+    file_imports,
+)
