@@ -21,7 +21,12 @@ def replay(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame
     checkpoint(spark.range(0).toDF("id"))  # sets the folder where it is unset
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    source = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        rows = source.parquet(f"{sf_dir}/{table}.parquet")
+    else:  # a stream takes folders only
+        rows = source.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
     state = latest_by(rows, "user_id", ["ts", "event_id"], ["event_id", "event_type"])
     query = (
         state.writeStream.outputMode("complete")
