@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.vectors import best, blocks_of, dimension, meet, valid
+from graphloom.llm.vectors import best, blocks_of, common_length, distinct_rows, kth, meet, read, valid
+
+#: Bits of a query's components, which meet the codes bit plane by bit plane.
+PLANES = 6
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -18,14 +20,38 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def words_of(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words, the last one filled up with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("<u8")
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray):
     """(packed sign bits of the rotated residuals, their norms, their inner products with their codes)."""
     turned = (x - centre) @ turn
     norm = np.linalg.norm(turned, axis=1)
     unit = turned / np.where(norm > 0, norm, 1)[:, None]
-    bits = unit > 0
     agree = np.abs(unit).sum(axis=1) / math.sqrt(x.shape[1])  # <o, code>, code = +-1/sqrt(dim)
-    return np.packbits(bits, axis=1), norm, np.where(norm > 0, agree, 1.0)
+    return words_of(unit > 0), norm, np.where(norm > 0, agree, 1.0)
+
+
+def sign_products(turned: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inner products of the queries with the codes' signs, how far each query's may be off).
+
+    A query's components become whole numbers of PLANES bits; bit plane and code are and-ed and
+    counted word by word, so the codes are never unpacked.
+    """
+    low = turned.min(axis=1, keepdims=True)
+    step = np.maximum((turned.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-300)
+    level = np.rint((turned - low) / step).astype(np.int64)
+    total = np.zeros((len(turned), len(codes)), np.int32)
+    for plane in range(PLANES):
+        bits = words_of(level >> plane & 1)
+        for w in range(codes.shape[1]):
+            total += np.bitwise_count(bits[:, w, None] & codes[None, :, w]).astype(np.int32) << plane
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    at = low + level * step
+    return 2 * (low * ones[None, :] + step * total) - at.sum(axis=1, keepdims=True), np.abs(turned - at).sum(axis=1)
 
 
 def estimate(q: np.ndarray, centre: np.ndarray, turn: np.ndarray, codes: np.ndarray, norm: np.ndarray, agree: np.ndarray, epsilon: float):
@@ -33,59 +59,66 @@ def estimate(q: np.ndarray, centre: np.ndarray, turn: np.ndarray, codes: np.ndar
     dim = q.shape[1]
     turned = (q - centre) @ turn
     q_norm = np.linalg.norm(turned, axis=1)
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float64) * 2 - 1
-    inner = (turned @ signs.T) / math.sqrt(dim) / agree[None, :]  # |q| <q, o>
+    signs, off = sign_products(turned, codes)
+    inner = signs / math.sqrt(dim) / agree[None, :]  # |q| <q, o>
     error = epsilon * q_norm[:, None] * (np.sqrt(np.maximum(1 - agree**2, 0)) / agree / math.sqrt(max(1, dim - 1)))[None, :]
+    error = error + off[:, None] / math.sqrt(dim) / agree[None, :]
     return q_norm[:, None] ** 2 + norm[None, :] ** 2 - 2 * norm[None, :] * inner, 2 * norm[None, :] * error
 
 
-def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, epsilon: float = 3.0, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096
-) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k nearest vectors found, by Euclidean distance.
+def scanner(k: int, centre: np.ndarray, turn: np.ndarray, epsilon: float):
+    words = (len(centre) + 63) // 64
 
-    Every vector is coded: its difference from the centre of all is rotated at random and kept as
-    one bit a component, with its norm and its inner product with the code as correction scalars.
-    Codes estimate distances with a bound that holds with a probability set by epsilon (in
-    standard widths); a vector is read and reranked exactly if its lower bound is no worse than
-    the kth smallest upper bound of its block. Scores are exact: double precision, on the vectors
-    as they are. Recall against brute force is tested.
-
-    Vectors that are null, empty, zero or hold null or non-finite components take no part on
-    either side, nor do rows without an id; a vector is no candidate of a query with its own id;
-    repeated ids are candidates each for themselves. With fewer than k candidates all are
-    returned. Only the two named columns are read; no queries or no vectors give no rows.
-    """
-    data, asked = valid(vectors, id_col, vec_col, drop_zero=True), valid(queries, id_col, vec_col, drop_zero=True)
-    dim = dimension(data.union(asked))
-    means = data.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect() if dim else []
-    centre, turn = np.array([r["m"] for r in means]), rotation(dim, seed) if dim else None
-    code_bytes = (dim + 7) // 8
+    def scan(data: bytes, n: int, q: np.ndarray, same: np.ndarray, state: dict):
+        codes = np.frombuffer(data, "<u8", n * words).reshape(n, words)
+        norm, agree = np.frombuffer(data, "<f4", 2 * n, 8 * n * words).reshape(2, n).astype(np.float64)
+        about, half = estimate(q, centre, turn, codes, norm, agree, epsilon)
+        upper = about + half
+        upper[same] = np.inf
+        seen = np.concatenate((state.get("best", np.full((len(q), k), np.inf)), upper), axis=1)
+        state["best"] = np.partition(seen, k - 1, axis=1)[:, :k]
+        row, col = np.nonzero((about - half <= state["best"].max(axis=1)[:, None]) & ~same)
+        return row, col, ((about - half)[row, col], upper[row, col])
+
+    return scan
+
+
+def candidates(data: DataFrame, asked: DataFrame, k: int, dim: int, epsilon: float, seed: int, block_rows: int) -> DataFrame:
+    """(query_id, qh, vec_id, h) of the vectors that the codes' error bounds choose for reranking."""
+    means = data.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()  # one row a component
+    centre, turn = np.array([r["m"] for r in means]), rotation(dim, seed)
 
     def prepare(x: np.ndarray) -> bytes:
         codes, norm, agree = encode(x, centre, turn)
-        return codes.tobytes() + norm.astype("<f8").tobytes() + agree.astype("<f8").tobytes() + x.astype("<f8").tobytes()
-
-    def search(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, own = (np.frombuffer(b[c][i].as_py(), "<i8") for c in ("ids", "q_ids"))
-                raw, n = b["data"][i].as_py(), len(ids)
-                codes = np.frombuffer(raw, np.uint8, n * code_bytes).reshape(n, code_bytes)
-                norm, agree = np.frombuffer(raw, "<f8", 2 * n, n * code_bytes).reshape(2, n)
-                x = np.frombuffer(raw, "<f8", n * dim, n * (code_bytes + 16)).reshape(n, dim)
-                q = np.frombuffer(b["q_data"][i].as_py(), "<f8").reshape(-1, dim)
-                about, half = estimate(q, centre, turn, codes, norm, agree, epsilon)
-                upper = about + half
-                upper[own[:, None] == ids[None, :]] = np.inf
-                kth = np.partition(upper, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
-                row, col = np.nonzero((about - half <= kth[:, None]) & (own[:, None] != ids[None, :]))
-                score = np.concatenate([np.zeros(0), *(np.sqrt(((q[row[s : s + 65536]] - x[col[s : s + 65536]]) ** 2).sum(axis=1)) for s in range(0, len(row), 65536))])
-                order = np.lexsort((ids[col], score, row))
-                row, col, score = row[order], col[order], score[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = place < k
-                yield pa.record_batch({"query_id": own[row[keep]], "vec_id": ids[col[keep]], "score": score[keep]})
-
-    pairs = meet(blocks_of(data, block_rows, data.count(), prepare), blocks_of(asked, 256, asked.count()))
-    return best(pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double"), k, ascending=True)
+        return codes.tobytes() + norm.astype("<f4").tobytes() + agree.astype("<f4").tobytes()
+
+    exact = lambda x: x.astype("<f8").tobytes()
+    found = meet(blocks_of(data, block_rows, prepare), blocks_of(asked, 256, exact), scanner(k, centre, turn, epsilon), "lower double, upper double")
+    return kth(found, k, "upper", True).where(F.col("edge").isNull() | (F.col("lower") <= F.col("edge"))).select("query_id", "qh", "vec_id", "h")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, epsilon: float = 1.5, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k nearest vectors found, by Euclidean distance.
+
+    Every vector is coded: its difference from the centre of all is rotated at random and kept as
+    one bit a component, packed, with its norm and its inner product with the code as correction
+    scalars, 16 bytes at 64 components. Codes estimate distances with a bound that holds with a
+    probability set by epsilon (in standard widths). A vector is chosen for reranking if its lower
+    bound is no worse than the query's kth smallest upper bound; only chosen vectors are fetched
+    as they are, by a join, and their scores are exact, in double precision.
+
+    Vectors that are null, empty, zero, of another length than most, or hold null or non-finite
+    components take no part on either side, nor do rows without an id; a vector is no candidate
+    of a query with its own id. Repeated rows are candidates each for themselves and one query;
+    rows of one id with different vectors are queries each for themselves. With fewer than k
+    candidates all are returned. Only the two named columns are read; no queries or no vectors
+    give no rows.
+    """
+    own, ask = valid(vectors, id_col, vec_col, drop_zero=True), valid(queries, id_col, vec_col, drop_zero=True)
+    dim = common_length(own)
+    data, asked = distinct_rows(own, dim), distinct_rows(ask, dim)
+    if not dim:
+        return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    chosen = candidates(data, asked, k, dim, epsilon, seed, block_rows)
+    scored = read(chosen, data, asked, lambda a, b: (a - b) * (a - b), F.lit(0.0))
+    return best(scored.withColumn("score", F.sqrt("sum")), k, ascending=True)

@@ -3,73 +3,89 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.vectors import best, blocks_of, dimension, meet, valid
+from graphloom.llm.common import checkpoint
+from graphloom.llm.vectors import QUERY, best, blocks_of, common_length, distinct_rows, kth, meet, read, valid
 
+CELLS = 256
 
-def top_k(q: np.ndarray, y: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
-    """One block of vectors for one block of queries -> (query row, vector row, score).
 
-    cells are the file: each component's cell number. A vector's upper bound takes, for each
-    component, the end of its cell that favours the query. Exact vectors are read in order of that
-    bound, a step at a time, until the kth best score is certain; equal bounds are all read, since
-    ties go by id.
-    """
-    centre = low + cells * width  # the cells' lower ends; all numbers are integers far below 2^53
-    upper = q @ centre.T + (np.maximum(q, 0) @ (width - 1))[:, None]
-    upper[own[:, None] == ids[None, :]] = -np.inf
-    out = []
-    for row in range(len(q)):
-        left = int(np.isfinite(upper[row]).sum())
-        step, at = max(4 * k, 64), 0
-        order = np.argsort(-upper[row], kind="stable")[:left]
-        scores, rows = np.zeros(0), np.zeros(0, np.int64)
-        while at < left:
-            part = order[at : at + step]
-            scores, rows = np.concatenate((scores, y[part] @ q[row])), np.concatenate((rows, part))
-            keep = np.lexsort((ids[rows], -scores))[:k]
-            scores, rows, at, step = scores[keep], rows[keep], at + step, 2 * step
-            if len(scores) == k and at < left and upper[row][order[at]] < scores[-1]:
-                break
-        out.append((np.full(len(rows), row), rows, scores))
-    return [np.concatenate(x) for x in zip(*out)]
-
-
-def exact_top_k(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, cell_bits: int = 6, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096
-) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k largest integer inner products, ties to the smaller id.
+def approximate(x: np.ndarray) -> bytes:
+    """A block's file: each component's least value and cell width in the block, then one byte a component, its cell."""
+    low = x.min(axis=0)
+    width = np.floor((x.max(axis=0) - low) / CELLS) + 1
+    return low.astype("<f8").tobytes() + width.astype("<f8").tobytes() + np.floor((x - low) / width).astype(np.uint8).tobytes()
 
-    A component x counts as floor(scale * x), x as double. queries and vectors have the same
-    columns; a vector is no candidate of a query with its own id. Vectors that are null, empty or
-    hold null or non-finite components take no part on either side, nor do rows without an id;
-    repeated ids are candidates each for themselves. With fewer than k candidates all are
-    returned. Only the two named columns are read; no queries or no vectors give no rows.
 
-    Cells are cut per component between the smallest and largest value over all vectors into
-    2^cell_bits of one width. Blocks of vectors (with their approximations) meet blocks of
-    queries; each meeting returns k rows a query, so no task holds more than two blocks.
+def bounds(data: bytes, n: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) bounds of the inner products of queries with a file's n vectors.
+
+    A component lies in [low + cell * width, low + cell * width + width - 1]. The cells' products
+    are in single precision, whose rounding, and that of the rest, widens the bounds.
     """
-    ints = lambda rows: rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
-    data, asked = ints(valid(vectors, id_col, vec_col)), ints(valid(queries, id_col, vec_col))
-    dim = dimension(data.union(asked))
-    ends = data.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect() if dim else []
-    low, high = np.array([r["lo"] for r in ends]), np.array([r["hi"] for r in ends])
-    width = np.floor((high - low) / 2**cell_bits) + 1 if len(ends) else low
-
-    def search(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, own = (np.frombuffer(b[c][i].as_py(), "<i8") for c in ("ids", "q_ids"))
-                y, q = (np.frombuffer(b[c][i].as_py(), "<f8").reshape(-1, dim) for c in ("data", "q_data"))
-                cells = np.floor((y - low) / width)
-                row, col, score = top_k(q, y, cells, low, width, ids, own, k)
-                yield pa.record_batch({"query_id": own[row], "vec_id": ids[col], "score": score.astype(np.int64)})
-
-    pairs = meet(blocks_of(data, block_rows, data.count()), blocks_of(asked, 256, asked.count()))
-    return best(pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint"), k, ascending=False)
+    dim = q.shape[1]
+    low, width = np.frombuffer(data, "<f8", 2 * dim).reshape(2, dim)
+    cells = np.frombuffer(data, np.uint8, n * dim, 16 * dim).reshape(n, dim)
+    step, base = q * width, q @ low
+    centre = base[:, None] + (step.astype(np.float32) @ cells.T.astype(np.float32)).astype(np.float64)
+    slack = (dim + 8) * 2.0**-23 * np.abs(step).sum(axis=1) * CELLS + 1e-12 * np.abs(q) @ np.abs(low) + 1e-9
+    lower = centre + (np.minimum(q, 0) @ (width - 1) - slack)[:, None]
+    return lower, centre + (np.maximum(q, 0) @ (width - 1) + slack)[:, None]
+
+
+def scanner(k: int):
+    def scan(data: bytes, n: int, q: np.ndarray, same: np.ndarray, state: dict):
+        lower, upper = bounds(data, n, q)
+        lower[same] = -np.inf
+        seen = np.concatenate((state.get("best", np.full((len(q), k), -np.inf)), lower), axis=1)
+        state["best"] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:]
+        row, col = np.nonzero((upper >= state["best"].min(axis=1)[:, None]) & ~same)
+        return row, col, (lower[row, col], upper[row, col])
+
+    return scan
+
 
+def candidates(data: DataFrame, asked: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """(query_id, qh, vec_id, h, lower, upper) of the vectors that the bounds alone can't rule out: the scan of the file."""
+    exact = lambda x: x.astype("<f8").tobytes()
+    found = meet(blocks_of(data, block_rows, approximate), blocks_of(asked, 256, exact), scanner(k), "lower double, upper double")
+    return kth(found, k, "lower", False).where(F.col("edge").isNull() | (F.col("upper") >= F.col("edge"))).drop("edge")
 
+
+def whole(rows: DataFrame, scale: float, dim: int) -> DataFrame:
+    """Components as whole numbers, held within 2^b so that no inner product leaves the 62 bits of a score."""
+    most = 1 << (62 - max(0, dim - 1).bit_length()) // 2
+    return rows.withColumn("vec", F.transform("vec", lambda x: F.greatest(F.least(F.floor(x * scale).cast("bigint"), F.lit(most)), F.lit(-most))))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k largest integer inner products, ties to the smaller id.
+
+    A component x counts as floor(scale * x), x as double. The file holds one byte a component, the
+    number of its cell between the least and largest value of its block. Every block of the file
+    meets every block of queries; what the bounds can't rule out goes on, ids and bounds only.
+    Exact vectors are then read in the order of their upper bounds: the first 2k of each query,
+    then those whose bound reaches the kth score so far; with these the kth result is certain.
+    The scan is queries times vectors, as any exact search of this kind is.
+
+    queries and vectors have the same columns; a vector is no candidate of a query with its own
+    id. Vectors that are null, empty, of another length than most, or hold null or non-finite
+    components take no part on either side, nor do rows without an id. Components saturate at
+    2^b, with b = 28 at 64 components (x beyond a million at scale 256), where an inner product
+    could otherwise overflow. Repeated rows are candidates each for themselves and one query;
+    rows of one id with different vectors are queries each for themselves. With fewer than k
+    candidates all are returned. Only the two named columns are read; no queries or no vectors
+    give no rows.
+    """
+    own, ask = valid(vectors, id_col, vec_col), valid(queries, id_col, vec_col)
+    dim = common_length(own)
+    data, asked = distinct_rows(whole(own, scale, dim), dim), distinct_rows(whole(ask, scale, dim), dim)
+    near = kth(candidates(data, asked, k, block_rows), 2 * k, "upper", False)
+    near = checkpoint(near.withColumn("first", F.col("edge").isNull() | (F.col("upper") >= F.col("edge"))).drop("edge"))
+    score = lambda pairs: read(pairs, data, asked, lambda a, b: a * b, F.lit(0).cast("bigint")).withColumnRenamed("sum", "score")
+    one = checkpoint(score(near.where("first")))
+    sure = kth(one, k, "score", False).groupBy(*QUERY).agg(F.max("edge").alias("edge"))
+    two = score(near.where("NOT first").join(sure, QUERY).where(F.col("edge").isNull() | (F.col("upper") >= F.col("edge"))).drop("edge"))
+    return best(one.unionByName(two), k, ascending=False)

@@ -51,7 +51,7 @@ def test_rotated_codes_find_the_nearest(vectors):
     by_id = dict(ok)
     for q in [k for k, _ in ok if k % 20 == 0]:
         best = sorted((float(np.sqrt(((by_id[q] - w) ** 2).sum())), k) for k, w in ok if k != q)[:10]
-        assert all(s == float(np.sqrt(((by_id[q] - by_id[k]) ** 2).sum())) for k, s in got[q])
+        assert all(math.isclose(s, float(np.sqrt(((by_id[q] - by_id[k]) ** 2).sum())), rel_tol=1e-12) for k, s in got[q])
         hit += len({k for _, k in best} & {k for k, _ in got[q]})
         total += len(best)
     assert hit / total >= 0.9
