@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only without one (tests) a local one is set."""
+    """The cluster names a shared folder in spark.checkpoint.dir; without one a local master (tests) gets a folder of its own, others an error."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="graphloom-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -80,6 +84,12 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def salted(column: str, salts: int):
-    """A salt in [0, salts) from a column's hash."""
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+def salted_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str | list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined to a table that has one row a key, with the rows of one key spread over `salts` tasks by the hash of their columns `by`.
+
+    The table is repeated once a salt, which is little beside rows of which a third may have one key.
+    """
+    keys, by = [key] if isinstance(key, str) else key, [by] if isinstance(by, str) else by
+    left = rows.withColumn("join__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    right = table.withColumn("join__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "join__salt"], how).drop("join__salt")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint
+from graphloom.llm.common import checkpoint, salted_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v), any orientation -> (node, root), root being the component's smallest node.
 
     Every round is two joins and two aggregations, written to the checkpoint folder; the number of
-    rounds grows with the logarithm of the longest path. Self-loops and null ends are ignored and
-    an empty table gives an empty result.
+    rounds grows with the logarithm of the longest path. The joins are salted, so the edges of one
+    star are spread over tasks. Self-loops and null ends are ignored and an empty table gives an
+    empty result.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, before = checkpoint(now), None
@@ -23,7 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = salted_join(large, least, "u", "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before, now = state, checkpoint(small.where("u <> v").distinct())

@@ -1,11 +1,16 @@
 """Packed hash exchange: find hashes that several blocks of rows share, at a few bytes a hash.
 
 A block (one group of rows) holds a sorted set of hashes. Sent as rows they would cost some 16
-bytes each in a shuffle; here each block sends, for every range of hash values (a bucket), one
-binary value: the counts of the values' leading bits and the trailing bytes, in the manner of an
-Elias-Fano list. A bucket's task merges what all blocks sent and answers each block with one bit
-for each hash, in the block's own order. Nothing but sorted integers crosses the network, and a
-group's size is the block's or the bucket's share, never that of a hot key.
+bytes each in a shuffle, over ten times the input where a document has thousands; here each block
+sends, for every range of hash values (a bucket), one binary value: the counts of the values'
+leading bits and the trailing bytes. A bucket's task merges what all blocks sent and answers each
+block with one bit for each hash, in the block's own order: another block has it. The hashes are
+cut to as many bits as leave some three per cent of chance meetings, so an answer only selects
+what is then compared as a whole by plain joins.
+
+The number of buckets follows the number of values, without a ceiling: a bucket gets some
+PER_BUCKET of them whatever the input. Messages are at most blocks times buckets and at most the
+values; where blocks send few values to a bucket, a message costs what a row would.
 """
 
 from __future__ import annotations
@@ -19,27 +24,36 @@ import zstandard
 
 REQUEST = "block int, bucket int, n int, payload binary"
 REPLY = "block int, bucket int, mask binary"
+#: Values that one bucket's task merges.
+PER_BUCKET = 1 << 21
+#: Bits beyond log2 of all values: a value meets another by chance with a probability of 2^-SPARE.
+SPARE = 5
 
 
 @dataclass(frozen=True)
 class Layout:
-    """bits of a hash value = 8 * low_bytes + cell_bits; buckets are its leading bucket_bits."""
+    """A hash value has bucket_bits, then inner_bits that are sent as counts, then low_bytes."""
 
-    low_bytes: int
-    cell_bits: int
     bucket_bits: int
+    inner_bits: int
+    low_bytes: int
 
     @property
     def bits(self) -> int:
-        return 8 * self.low_bytes + self.cell_bits
+        return self.bucket_bits + self.inner_bits + 8 * self.low_bytes
 
     @property
     def buckets(self) -> int:
         return 1 << self.bucket_bits
 
 
-def bucket_bits(values: int, per_bucket: int = 1 << 21, least: int = 4, most: int = 14) -> int:
-    return min(most, max(least, math.ceil(math.log2(max(values, 1) / per_bucket + 1))))
+def layout(values: int, blocks: int, per_bucket: int = PER_BUCKET) -> Layout:
+    """The layout for so many values from so many blocks: cells of about one value a message, and whole bytes below."""
+    bucket_bits = max(4, math.ceil(math.log2(max(values, 1) / per_bucket + 1)))
+    inner_bits = max(0, round(math.log2(max(1, values / max(1, blocks)))) - bucket_bits)
+    want = math.ceil(math.log2(max(values, 2))) + SPARE
+    low_bytes = min((64 - bucket_bits - inner_bits) // 8, max(1, math.ceil((want - bucket_bits - inner_bits) / 8)))
+    return Layout(bucket_bits, inner_bits, low_bytes)
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -59,18 +73,18 @@ def distinct_with(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return run[at], order[at], inverse, np.diff(np.append(at, len(run)))
 
 
-def split(values: np.ndarray, at: Layout) -> np.ndarray:
-    """Positions at which the sorted values pass from one bucket to the next; one more than buckets."""
-    edges = np.arange(1, at.buckets, dtype=np.uint64) << np.uint64(at.bits - at.bucket_bits)
-    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
+def split(values: np.ndarray, at: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets in which the sorted values lie, positions at which these begin and the last one ends)."""
+    bucket = (values >> np.uint64(at.bits - at.bucket_bits)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[starts], np.append(starts, len(values))
 
 
 def pack(values: np.ndarray, bucket: int, at: Layout) -> bytes:
     low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : at.low_bytes]
-    inner = at.cell_bits - at.bucket_bits
-    cells = (values >> np.uint64(8 * at.low_bytes)).astype(np.int64) - (bucket << inner)
-    counts = np.bincount(cells, minlength=1 << inner).astype("<u4")
-    wide = bool(len(counts) and counts.max() > 255)
+    cells = (values >> np.uint64(8 * at.low_bytes)).astype(np.int64) - (int(bucket) << at.inner_bits)
+    counts = np.bincount(cells, minlength=1 << at.inner_bits).astype("<u4")
+    wide = bool(counts.max() > 255)
     head = zstandard.ZstdCompressor(level=1).compress(counts.tobytes() if wide else counts.astype(np.uint8).tobytes())
     return bytes([wide]) + len(head).to_bytes(4, "little") + head + low.tobytes()
 
@@ -78,41 +92,37 @@ def pack(values: np.ndarray, bucket: int, at: Layout) -> bytes:
 def unpack(payload: bytes, n: int, bucket: int, at: Layout) -> np.ndarray:
     size = int.from_bytes(payload[1:5], "little")
     counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[5 : 5 + size]), "<u4" if payload[0] else np.uint8)
-    inner = at.cell_bits - at.bucket_bits
-    cells = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) + np.uint64(bucket << inner)
+    cells = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) + np.uint64(bucket << at.inner_bits)
     wide = np.zeros((n, 8), np.uint8)
     wide[:, : at.low_bytes] = np.frombuffer(payload, np.uint8, n * at.low_bytes, 5 + size).reshape(n, at.low_bytes)
     return wide.view("<u8").reshape(-1) | (cells << np.uint64(8 * at.low_bytes))
 
 
 def requests(block: int, values: np.ndarray, at: Layout) -> pa.Table:
-    """What a block sends: one row for each bucket in which it has values. values: sorted, each once."""
-    cuts = split(values, at)
-    full = [b for b in range(at.buckets) if cuts[b + 1] > cuts[b]]
+    """What a block sends: one row for each bucket in which it has values. values: sorted, each once, of at.bits bits."""
+    buckets, cuts = split(values, at)
     return pa.table(
         {
-            "block": pa.array([block] * len(full), pa.int32()),
-            "bucket": pa.array(full, pa.int32()),
-            "n": pa.array([int(cuts[b + 1] - cuts[b]) for b in full], pa.int32()),
-            "payload": pa.array([pack(values[cuts[b] : cuts[b + 1]], b, at) for b in full], pa.binary()),
+            "block": pa.array([block] * len(buckets), pa.int32()),
+            "bucket": pa.array(buckets, pa.int32()),
+            "n": pa.array(np.diff(cuts), pa.int32()),
+            "payload": pa.array([pack(values[lo:hi], b, at) for b, lo, hi in zip(buckets, cuts[:-1], cuts[1:])], pa.binary()),
         }
     )
 
 
-def shared(at: Layout, earlier: bool):
-    """The bucket's task. A hash's bit is set if another block has it; with earlier, if a block of a smaller number has."""
+def shared(at: Layout):
+    """The bucket's task: a hash's bit is set if another block has it."""
 
     def merge(group: pa.Table) -> pa.Table:
-        group = group.sort_by("block")
         bucket, sizes = group["bucket"][0].as_py(), group["n"].to_numpy()
         values = np.concatenate([unpack(p, n, bucket, at) for p, n in zip(group["payload"].to_pylist(), sizes)])
-        order = np.argsort(values, kind="stable")  # merges sorted runs; equal values stay in order of block
+        order = np.argsort(values, kind="stable")  # merges sorted runs
         same = values[order]
         same = same[1:] == same[:-1]
         found = np.zeros(len(values), bool)
         found[order[1:][same]] = True
-        if not earlier:
-            found[order[:-1][same]] = True
+        found[order[:-1][same]] = True
         masks = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])]
         return pa.table({"block": group["block"].cast(pa.int32()), "bucket": group["bucket"].cast(pa.int32()), "mask": pa.array(masks, pa.binary())})
 
@@ -121,8 +131,9 @@ def shared(at: Layout, earlier: bool):
 
 def flags(values: np.ndarray, replies: pa.Table, at: Layout) -> np.ndarray:
     """A block's bits, in the order of its sorted values."""
-    cuts, out = split(values, at), np.zeros(len(values), bool)
+    buckets, cuts = split(values, at)
+    place, out = dict(zip(buckets.tolist(), range(len(buckets)))), np.zeros(len(values), bool)
     for bucket, mask in zip(replies["bucket"].to_pylist(), replies["mask"].to_pylist()):
-        lo, hi = cuts[bucket], cuts[bucket + 1]
+        lo, hi = cuts[place[bucket]], cuts[place[bucket] + 1]
         out[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo)
     return out

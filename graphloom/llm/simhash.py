@@ -8,11 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import packed
-from graphloom.llm.common import checkpoint, mix64, parallelism, short_batches, trim
+from graphloom.llm.common import checkpoint, mix64, parallelism, salted_join, short_batches, trim
 from graphloom.llm.components import connected_components
 
 SEED = 42
@@ -46,35 +46,37 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
 
 def ball(radius: int) -> np.ndarray:
-    """The bit patterns of weight 0 to radius."""
+    """The bit patterns of weight 0 to radius, by weight."""
     return np.array([sum(1 << b for b in bits) for w in range(radius + 1) for bits in combinations(range(64), w)], np.uint64)
 
 
-def near_links(fps: DataFrame, radius: int = 4, per_block: int = 1024) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, per_block: int = 1024, per_bucket: int = packed.PER_BUCKET) -> DataFrame:
     """fps (fp), distinct -> links (u, v) whose components are those of all pairs within the radius.
 
-    Every fingerprint emits all variants within half the radius. Two fingerprints are within an
-    even radius exactly if they share a variant, so each one that shares a variant is linked to
-    the smallest one that has it: components stay whole without the pairs inside a group. The
-    variants meet twice. First as packed hashes (packed.py), which tell each block of fingerprints
-    which of its variants occur elsewhere; then only those, with their fingerprints. A hash that
-    two different variants share costs a little traffic and no link: the second meeting compares
-    the variants themselves. At most as many fingerprints as a ball holds have one variant.
+    Every fingerprint emits all variants within half the radius, rounded up. Two fingerprints are
+    within the radius exactly if one of them has a variant within half the radius, rounded down
+    (an inner one), that is any variant of the other. Each one that has a variant is linked to the
+    smallest one that has it as an inner variant, if there is one: components stay whole without
+    the pairs inside a group, and every link is within the radius.
+
+    The variants meet twice. First as packed hashes (packed.py), which tell each block of
+    fingerprints which of its variants may occur elsewhere; then those as rows, with their
+    fingerprints, whole: a hash that two variants share costs a little traffic and no link. At
+    most as many fingerprints as a ball holds have one variant, so no variant is hot.
     """
-    masks = ball(radius // 2)
+    if radius < 0:
+        raise ValueError("a radius is 0 or more bits")
+    masks, inner = ball(radius - radius // 2), len(ball(radius // 2))
     n = fps.count()
-    values = n * len(masks)
-    low = min(5, max(2, math.ceil((math.log2(max(values, 1)) + 5 - 21) / 8)))
-    at = packed.Layout(low, 21, packed.bucket_bits(values))
     blocks = max(1, parallelism(fps.sparkSession) if n > 2000 else 1, math.ceil(n / per_block))
+    at = packed.layout(n * len(masks), blocks, per_bucket)
     # the rows are few and the work behind each is large, so the number of tasks is stated
     fps = fps.select("fp", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
     def variants(group: pa.Table):
         own = np.sort(group["fp"].to_numpy().astype(np.int64).view(np.uint64))
         every = own[:, None] ^ masks[None, :]
-        hashes = mix64(every.reshape(-1)) >> np.uint64(64 - at.bits)
-        return own, every, hashes
+        return own, every, mix64(every.reshape(-1)) >> np.uint64(64 - at.bits)
 
     def first(group: pa.Table) -> pa.Table:
         return packed.requests(group["block"][0].as_py(), packed.distinct(variants(group)[2]), at)
@@ -82,36 +84,14 @@ def near_links(fps: DataFrame, radius: int = 4, per_block: int = 1024) -> DataFr
     def second(group: pa.Table, replies: pa.Table) -> pa.Table:
         own, every, hashes = variants(group)
         known, _, inverse, count = packed.distinct_with(hashes)
-        hit = ((packed.flags(known, replies, at) | (count > 1))[inverse]).reshape(every.shape)
-        row, mask = np.nonzero(hit)
-        bucket = (hashes.reshape(every.shape)[row, mask] >> np.uint64(at.bits - at.bucket_bits)).astype(np.int64)
-        order = np.lexsort((mask, row, bucket))
-        row, mask, bucket = row[order], mask[order], bucket[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
-        out = {"bucket": [], "fps": [], "counts": [], "masks": []}
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            which, times = np.unique(row[lo:hi], return_counts=True)
-            out["bucket"].append(int(bucket[lo]))
-            out["fps"].append(own[which].tobytes())
-            out["counts"].append(times.astype("<u2").tobytes())
-            out["masks"].append(mask[lo:hi].astype("<u2").tobytes())
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("fps", "counts", "masks")})
-
-    def link(group: pa.Table) -> pa.Table:
-        fp = [np.repeat(np.frombuffer(f, np.uint64), np.frombuffer(c, "<u2")) for f, c in zip(group["fps"].to_pylist(), group["counts"].to_pylist())]
-        fp = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
-        variant = fp ^ masks[np.concatenate([np.frombuffer(m, "<u2") for m in group["masks"].to_pylist()])]
-        order = np.lexsort((fp.view(np.int64), variant))
-        fp, variant = fp[order], variant[order]
-        starts = np.concatenate(([True], variant[1:] != variant[:-1]))
-        least = fp[np.flatnonzero(starts)][np.cumsum(starts) - 1]
-        pairs = np.unique(np.stack([fp[fp != least], least[fp != least]], 1).view(np.int64), axis=0)
-        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+        row, mask = np.nonzero((packed.flags(known, replies, at) | (count > 1))[inverse].reshape(every.shape))
+        return pa.table({"variant": every[row, mask].view(np.int64), "fp": own[row].view(np.int64), "inner": mask < inner})
 
     tasks = min(at.buckets, blocks)
-    replies = fps.groupBy("block").applyInArrow(first, packed.REQUEST).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(packed.shared(at, False), packed.REPLY)
-    met = fps.groupBy("block").cogroup(replies.repartition(blocks, "block").groupBy("block")).applyInArrow(second, "bucket int, fps binary, counts binary, masks binary")
-    return met.groupBy("bucket").applyInArrow(link, "u bigint, v bigint").distinct()
+    replies = fps.groupBy("block").applyInArrow(first, packed.REQUEST).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(packed.shared(at), packed.REPLY)
+    met = fps.groupBy("block").cogroup(replies.repartition(blocks, "block").groupBy("block")).applyInArrow(second, "variant bigint, fp bigint, inner boolean")
+    least = F.min(F.when(F.col("inner"), F.col("fp"))).over(Window.partitionBy("variant"))
+    return met.withColumn("least", least).where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,9 +105,12 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
     own = checkpoint(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "doc__id"))
     per_fp = own.groupBy("fp").agg(F.min("doc__id").alias("first"))
     roots = connected_components(near_links(per_fp.select("fp"), radius))
-    of_fp = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(of_fp.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select(F.col("doc__id").alias(id_col), "fp", "component_id")
+    of_fp = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    linked = checkpoint(of_fp.where("root IS NOT NULL"))
+    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    alone = of_fp.where("root IS NULL").select("fp", F.col("first").alias("component_id"))
+    all_ = alone.unionByName(salted_join(linked.select("fp", "root"), named, "root", "fp").select("fp", "component_id"))
+    return salted_join(own, all_, "fp", "doc__id").select(F.col("doc__id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

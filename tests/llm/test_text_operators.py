@@ -165,3 +165,61 @@ def test_empty_tables(nothing):
     assert remove_repeats(nothing).count() == 0
     assert remove_boilerplate(nothing).count() == 0
     assert bpe.digests(bpe.encode(nothing, PATH), PATH).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_links_of_any_radius(spark, radius):
+    from graphloom.llm.components import connected_components
+    from graphloom.llm.simhash import near_links
+
+    rng = np.random.default_rng(radius)
+    fps = [7, 0] + [int(x) for x in rng.integers(0, 2**62, 12)]
+    for f in fps[:12]:
+        fps += [f ^ sum(1 << int(b) for b in rng.choice(62, k, replace=False)) for k in (1, 2, 3, 5, 6)]
+    fps = sorted(set(fps))
+    links = near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, per_block=30, per_bucket=500)
+    assert all(bin(r["u"] ^ r["v"]).count("1") <= radius for r in links.collect())
+    found = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    least = {f: f for f in fps}
+    while True:  # the smallest fingerprint that is reachable, by all pairs
+        new = {f: min(least[g] for g in fps if bin(f ^ g).count("1") <= radius) for f in fps}
+        if new == least:
+            break
+        least = new
+    assert {f: found.get(f, f) for f in fps} == least
+
+
+def test_layout_has_no_ceiling():
+    from graphloom.llm import packed
+
+    for values in (1, 10**6, 10**9, 10**12, 10**14):
+        at = packed.layout(values, max(1, values // 10**6))
+        assert values / at.buckets <= packed.PER_BUCKET and at.bits <= 64
+        assert at.bits >= min(64, np.log2(max(values, 2)) + packed.SPARE - 1)
+    rng = np.random.default_rng(0)
+    at = packed.layout(5000, 5, per_bucket=20)
+    values = packed.distinct(rng.integers(0, 2**at.bits, 1000, np.uint64))
+    sent = packed.requests(3, values, at)
+    back = [packed.unpack(p, n, b, at) for p, n, b in zip(sent["payload"].to_pylist(), sent["n"].to_pylist(), sent["bucket"].to_pylist())]
+    assert np.array_equal(np.concatenate(back), values)
+
+
+def test_repeats_with_text_ids_and_shared_low_halves(spark, monkeypatch):
+    """Ids as text, many small buckets, and digests whose low halves all agree: the high halves decide."""
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [("b", f"x {passage} y"), ("a", f"{passage} z z z z z z z z"), (None, passage), ("c", " ".join(f"q{k}" for k in range(30))), ("a", passage)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    want = [("a", 0), ("a", 0), ("b", 12), ("c", 0), (None, 12)]
+    key = lambda t: (t[0] is None, str(t[0]), t[1])
+    got = sorted(((r["doc_id"], r["n_removed"]) for r in remove_repeats(docs, 5, block_bytes=40, per_bucket=3).collect()), key=key)
+    assert got == want
+
+    from graphloom.llm.substring import Block
+    import pyarrow as pa
+
+    block = Block(pa.table({"id": [1, 2], "text": ["a b c d e f", "g h a b c d"]}), 3)
+    block.low = np.zeros(len(block.starts), np.uint64)
+    low, high, first, place = block.digest_runs()
+    assert len(high) == 6 and len(set(high.tolist())) == 6
+    assert block.removed(np.zeros(0, np.uint64), np.zeros(0, np.uint64)).tolist() == [False] * 6 + [False, False, True, True, True, True]
+    assert block.removed(low[:1], high[:1]).sum() >= 5
