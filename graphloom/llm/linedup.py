@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint
+from graphloom.llm.common import checkpoint, remove, salted_join, written
 
 #: log2 of a sketch's registers; the relative standard error is 1.04 / sqrt(2^12), under 2 %.
 LG_K = 12
-ERROR = 1.04 / 2 ** (LG_K / 2)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -20,29 +19,29 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
     return cut.withColumn("line", trimmed).where("line <> ''").select("id", "of", "pos", "site", F.xxhash64("line").alias("key"), F.xxhash64(F.reverse("line")).alias("key2"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int, sigmas: float = 4.0) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int, sigmas: float = 4.0, lg_k: int = LG_K) -> DataFrame:
     """(key, key2, sites, first) of the lines that stand on at least min_sites distinct sites.
 
-    A line seen fewer than min_sites times can't be on min_sites sites, so a plain count, combined
-    before its shuffle, keeps the lines of one document from ever getting a sketch. The rest get
-    one HyperLogLog sketch per line, merged by aggregation. Estimates further than `sigmas`
-    standard errors from the threshold decide; lines nearer to it are counted exactly, over
-    distinct (line, site) pairs.
+    One aggregation gives each line its count, its first occurrence and its HyperLogLog sketch of
+    sites; sketches are built before the shuffle and merged after it, so a line that is everywhere
+    sends one row a task. Estimates further than `sigmas` standard errors from the threshold
+    decide; lines nearer to it are counted exactly, over distinct (line, site) pairs.
     """
-    seen = lines.groupBy("key", "key2").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "pos")).alias("first"))
-    often = checkpoint(seen.where(F.col("n") >= min_sites).select("key", "key2", "first"))
-    pairs = lines.where("site IS NOT NULL").join(often.select("key", "key2"), ["key", "key2"], "left_semi").select("key", "key2", "site")
-    sketched = pairs.groupBy("key", "key2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    spread = checkpoint(sketched.select("key", "key2", F.hll_sketch_estimate("sketch").alias("sites")))
-    low, high = min_sites * (1 - sigmas * ERROR), min_sites * (1 + sigmas * ERROR)
-    near = spread.where(F.col("sites").between(low, high)).select("key", "key2")
-    exact = pairs.join(near, ["key", "key2"], "left_semi").distinct().groupBy("key", "key2").agg(F.count("*").alias("sites"))
-    found = spread.where(F.col("sites") > high).unionByName(exact.where(F.col("sites") >= min_sites))
-    return found.join(often, ["key", "key2"]).select("key", "key2", "sites", "first")
+    sketch = F.hll_sketch_agg("site", F.lit(lg_k))
+    seen = lines.groupBy("key", "key2").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "pos")).alias("first"), sketch.alias("sketch"))
+    error = 1.04 / 2 ** (lg_k / 2)
+    low, high = min_sites * (1 - sigmas * error), min_sites * (1 + sigmas * error)
+    spread = seen.where(F.col("n") >= min_sites).select("key", "key2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = checkpoint(spread.where(F.col("sites") >= low))
+    near = spread.where(F.col("sites") <= high)
+    pairs = lines.where("site IS NOT NULL").select("key", "key2", "site").distinct().join(near.select("key", "key2"), ["key", "key2"], "left_semi")
+    exact = pairs.groupBy("key", "key2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    sure = spread.where(F.col("sites") > high).select("key", "key2", "sites", "first")
+    return sure.unionByName(exact.join(near.select("key", "key2", "first"), ["key", "key2"]))
 
 
 def remove_boilerplate(
-    docs: DataFrame, min_sites: int = 10, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+    docs: DataFrame, min_sites: int = 10, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", lg_k: int = LG_K
 ) -> DataFrame:
     """docs with cross-site boilerplate lines taken out of the text, and line__count, line__removed.
 
@@ -50,7 +49,8 @@ def remove_boilerplate(
     white space. A line on at least min_sites distinct sites is boilerplate and goes from every
     document, but for its first occurrence (by id, then text, then position; keep_first), so that
     what many sites copied isn't lost altogether. Other lines and blank ones stay as they are, in
-    order.
+    order. The texts are split once, into a table of line hashes in the checkpoint folder; only
+    texts that lose lines are split again. Rows of one line are spread over tasks by a salt.
 
     A null text stays null and an empty one empty, with no line removed. A null site is no site:
     it adds nothing to a line's spread, but the line goes from that document as from any other.
@@ -58,20 +58,22 @@ def remove_boilerplate(
     All other columns pass through; line__count and line__removed replace columns of these
     names. No rows give no rows.
     """
-    lines = lines_of(docs, id_col, text_col, site_col)
-    found = checkpoint(boilerplate(lines, min_sites))
-    hit = lines.join(found, ["key", "key2"])
+    lines, path = written(lines_of(docs, id_col, text_col, site_col))
+    found = checkpoint(boilerplate(lines, min_sites, lg_k=lg_k).select("key", "key2", "first"))
+    hit = salted_join(lines.select("key", "key2", "id", "of", "pos"), found, ["key", "key2"], ["id", "pos"])
     if keep_first:
         hit = hit.where(~F.struct("id", "of", "pos").eqNullSafe(F.col("first")))
-    gone = hit.groupBy("id", "of").agg(F.array_distinct(F.collect_list("pos")).alias("gone"))
+    gone = checkpoint(hit.groupBy("id", "of").agg(F.array_distinct(F.collect_list("pos")).alias("gone")))
+    remove(docs.sparkSession, path)
     rest = docs.drop("line__count", "line__removed").withColumn("line__of", F.xxhash64(text_col))
     gone = gone.select(F.col("id").alias("line__id"), F.col("of").alias("line__of2"), F.col("gone").alias("line__gone"))
     both = rest.join(gone, F.col(id_col).eqNullSafe(F.col("line__id")) & (F.col("line__of") == F.col("line__of2")), "left")
     parts = F.split(text_col, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("line__gone"))
     text = F.when(F.col("line__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
+    breaks = F.length(text_col) - F.length(F.translate(text_col, "\n", ""))
     return both.select(
         *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns if c != "line__of"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("line__count"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(breaks + 1).cast("bigint").alias("line__count"),
         F.coalesce(F.size("line__gone"), F.lit(0)).cast("bigint").alias("line__removed"),
     )

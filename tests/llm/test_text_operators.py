@@ -159,6 +159,17 @@ def test_lines_match_brute_force(docs, rows, least):
     assert out.columns[: len(docs.columns)] == docs.columns
 
 
+def test_lines_near_the_threshold_with_coarse_sketches(spark):
+    """200 lines on 60 to 140 of 150 sites, sketches of 16 registers: they only sort out what is far from 100."""
+    rng = np.random.default_rng(4)
+    rows, sites = [], rng.integers(60, 141, 200)
+    for k, n in enumerate(sites):
+        rows += [(int(s), f"line {k}") for s in rng.choice(150, n, replace=False)]
+    docs = spark.createDataFrame([(j, t, "en", f"s{s}", 1) for j, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = remove_boilerplate(docs, min_sites=100, lg_k=4).groupBy().sum("line__removed").first()[0]
+    assert out == sum(int(n) - 1 for n in sites if n >= 100)
+
+
 def test_empty_tables(nothing):
     assert simhash_components(nothing).count() == 0
     assert keep_one(nothing).count() == 0
