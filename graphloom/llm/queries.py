@@ -56,7 +56,7 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urltree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    found = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return found.withColumn("bad_share", F.round("bad_share", 9))
 
 
@@ -87,26 +87,30 @@ judged AS (SELECT c.*, s.t IS NOT NULL AND struct_pack(a := c.doc_id, b := c.pos
 
 
 
-def url_sql(depth: int = 8, support: int = 20) -> str:
+def url_sql(depth: int = 8, support: int = 10) -> str:
+    """Loops written out to a depth; deeper paths than that end in an error."""
+    rules = ", ".join(f"('{h}{p}', '{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
     steps = [
-        """p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        f"""rules(rule, verdict, h, pre) AS (VALUES {rules}),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-s0 AS (SELECT p.*, good, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS tpl
- FROM p LEFT JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1) l ON p.page_id = l.doc_id)"""
+fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY 1),
+s0 AS (SELECT p.*, rule, verdict, CASE verdict WHEN 'allow' THEN 1 WHEN 'block' THEN 0 END AS good, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, CAST([] AS VARCHAR[]) AS tpl FROM p LEFT JOIN fit USING (page_id))"""
     ]
     for k in range(1, depth + 1):
         steps.append(f"""l{k} AS (SELECT host, tpl, segs[{k}] AS seg FROM s{k - 1} WHERE len(segs) >= {k} GROUP BY 1, 2, 3 HAVING count(*) >= {support}),
-s{k} AS (SELECT s.* EXCLUDE (tpl), CASE WHEN len(segs) >= {k} THEN s.tpl || '/' || coalesce(l.seg, '*') ELSE s.tpl END AS tpl
+s{k} AS (SELECT s.* EXCLUDE (tpl), CASE WHEN len(segs) >= {k} THEN list_append(s.tpl, coalesce(l.seg, '*')) ELSE s.tpl END AS tpl
  FROM s{k - 1} s LEFT JOIN l{k} l ON s.host = l.host AND s.tpl = l.tpl AND s.segs[{k}] = l.seg)""")
-    steps.append(f"""t AS (SELECT * EXCLUDE (tpl), CASE WHEN len(segs) > {depth} THEN tpl || '/**' ELSE tpl END AS tpl FROM s{depth}),
-b AS (SELECT host, tpl, regexp_replace(tpl, '^/[^/]*', '/*') AS parent, count(good) AS n, coalesce(sum(1 - good), 0) AS bad FROM t GROUP BY 1, 2),
-c AS (SELECT *, coalesce(sum(bad) OVER w / nullif(sum(n) OVER w, 0), 0) AS common FROM b WINDOW w AS (PARTITION BY host, parent)),
-m AS (SELECT *, CASE WHEN n = 0 OR abs(bad / n - common) <= 1.96 * sqrt(common * (1 - common) / n) THEN parent ELSE tpl END AS final FROM c),
-f AS (SELECT *, (sum(bad) OVER w + 10 * (SELECT coalesce(avg(1 - good), 0) FROM t)) / (sum(n) OVER w + 10) AS share, sum(n) OVER w AS n_f FROM m WINDOW w AS (PARTITION BY host, final)),
-rules(rule, verdict, h, pre) AS (VALUES {", ".join(f"('{h}{p}', '{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
-fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM t JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY 1)
-SELECT t.page_id, t.host, path, rule, coalesce(verdict, CASE WHEN n_f > 0 AND share > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, final AS template, round(share, 9) AS bad_share
-FROM t JOIN f ON t.host = f.host AND t.tpl = f.tpl LEFT JOIN fit ON t.page_id = fit.page_id""")
+    steps.append(f"""t AS (SELECT *, CASE WHEN len(segs) > {depth} THEN error('deeper than {depth}') ELSE '' END AS deep FROM s{depth}),
+m{depth + 1} AS (SELECT host, tpl, tpl AS c, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(1 - good), 0) AS DOUBLE) AS bad FROM t GROUP BY 1, 2)""")
+    for k in range(depth, 0, -1):
+        steps.append(f"""g{k} AS (SELECT *, sum(n) OVER w AS nc, sum(bad) OVER w AS bc, CASE WHEN len(c) >= {k} THEN list_concat(list_append(c[1:{k - 1}], '*'), c[{k + 1}:]) ELSE c END AS par FROM m{k + 1} WINDOW w AS (PARTITION BY host, c)),
+h{k} AS (SELECT *, sum(bad) OVER w / nullif(sum(n) OVER w, 0) AS common, min(CASE WHEN nc > 0 THEN c END) OVER w <> max(CASE WHEN nc > 0 THEN c END) OVER w AS siblings FROM g{k} WINDOW w AS (PARTITION BY host, par)),
+m{k} AS (SELECT host, tpl, n, bad, CASE WHEN nc > 0 AND siblings AND abs(bc / nc - common) <= 1.96 * sqrt(common * (1 - common) / nc) THEN par ELSE c END AS c FROM h{k})""")
+    steps.append("""f AS (SELECT *, (sum(bad) OVER w + 10 * (SELECT coalesce(avg(1 - good), 0) FROM t)) / (sum(n) OVER w + 10) AS share, sum(n) OVER w AS n_f FROM m1 WINDOW w AS (PARTITION BY host, c))
+SELECT page_id, t.host, path, rule, coalesce(verdict, CASE WHEN n_f > 0 AND share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+ CASE WHEN len(c) = 0 THEN '' ELSE '/' || array_to_string(c, '/') END || deep AS template, round(share, 9) AS bad_share
+FROM t JOIN f ON t.host = f.host AND t.tpl = f.tpl""")
     return "WITH " + ",\n".join(steps)
 
 

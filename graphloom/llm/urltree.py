@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint
+from graphloom.llm.common import checkpoint, salted_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -28,68 +30,99 @@ def longest_rule(rules: list[Rule]) -> Column:
     return found
 
 
-def templates(urls: DataFrame, min_support: int, max_depth: int) -> DataFrame:
-    """urls (host, path, ...) with the column template: per host, segments seldom seen at their place become *.
+def templates(urls: DataFrame, min_support: int) -> DataFrame:
+    """urls (id, host, path, ...) with the column template, an array: per host, segments seldom seen at their place become *.
 
-    The tree grows level by level. A segment stays literal if at least min_support urls have it
-    below the same node; all others share the node's wildcard. Levels beyond max_depth fold into
-    one **.
+    The tree grows level by level, as deep as the paths are. A segment stays literal if at least
+    min_support urls have it below the same node; all others share the node's wildcard. Below
+    nodes with fewer urls are wildcards alone, so the tree is done where no other node is left.
+    """
+    segs = F.filter(F.split("path", "/"), lambda s: s != "")
+    left = urls.withColumn("segs", segs).withColumn("template", F.array().cast("array<string>"))
+    kept, level, done = urls.columns, 0, []
+    while True:
+        level += 1
+        own = left.where(F.size("segs") >= level).withColumn("seg", F.get("segs", F.lit(level - 1)))
+        seen = checkpoint(own.groupBy("host", "template", "seg").agg(F.count("*").alias("n")))
+        if not seen.groupBy("host", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_support).take(1):
+            rest = F.concat("template", F.array_repeat(F.lit("*"), F.greatest(F.size("segs") - (level - 1), F.lit(0))))
+            done.append(left.select(*kept, rest.alias("template")))
+            return checkpoint(reduce(DataFrame.unionByName, done))
+        done.append(left.where(F.size("segs") < level).select(*kept, "template"))
+        literal = seen.where(F.col("n") >= min_support).select("host", "template", "seg", F.lit(True).alias("literal"))
+        grown = salted_join(own, literal, ["host", "template", "seg"], "id", "left")
+        left = checkpoint(grown.withColumn("template", F.concat("template", F.array(F.when(F.col("literal"), F.col("seg")).otherwise("*")))).drop("seg", "literal"))
+
+
+def merged(branches: DataFrame, merge_z: float) -> DataFrame:
+    """branches (host, template, n, bad) with `final`, the template that each ends in.
+
+    From the deepest level up to the first, labelled siblings (two or more templates that differ
+    in that segment alone) merge into the one with a wildcard there, if their share of bad pages
+    is within merge_z standard errors of the share of all these siblings. A branch without
+    labelled pages is like no other and stays; what merged is one branch on the next level.
     """
-    step = urls.withColumn("segs", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    deepest = step.agg(F.max(F.size("segs"))).first()[0] or 0
-    for k in range(1, min(deepest, max_depth) + 1):
-        seg = F.get("segs", F.lit(k - 1))
-        literal = step.where(F.size("segs") >= k).groupBy("host", "template", seg.alias("seg")).count().where(F.col("count") >= min_support)
-        literal = literal.select("host", "template", "seg", F.lit(True).alias("kept"))
-        step = step.withColumn("seg", seg).join(literal, ["host", "template", "seg"], "left")
-        grown = F.concat("template", F.lit("/"), F.when(F.col("kept"), F.col("seg")).otherwise("*"))
-        step = step.withColumn("template", F.when(F.size("segs") >= k, grown).otherwise(F.col("template"))).drop("seg", "kept")
-    deep = F.when(F.size("segs") > max_depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return step.withColumn("template", deep).drop("segs")
+    now = branches.withColumn("final", F.col("template"))
+    for k in range(now.agg(F.max(F.size("final"))).first()[0] or 0, 0, -1):
+        wild = F.concat(F.slice("final", 1, k - 1), F.array(F.lit("*")), F.slice("final", k + 1, F.greatest(F.size("final") - k, F.lit(0))))
+        own = now.groupBy("host", "final").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.size("final") >= k).withColumn("parent", wild)
+        own = own.where("n > 0")
+        common = own.groupBy("host", "parent").agg(F.try_divide(F.sum("bad"), F.sum("n")).alias("common"), F.count("*").alias("siblings")).where("siblings > 1")
+        near = F.abs(F.col("bad") / F.col("n") - F.col("common")) <= merge_z * F.sqrt(F.col("common") * (1 - F.col("common")) / F.col("n"))
+        if not common.take(1):
+            continue
+        alike = own.join(common, ["host", "parent"]).where(near).select("host", "final", "parent")
+        now = checkpoint(now.join(alike, ["host", "final"], "left").withColumn("final", F.coalesce("parent", "final")).drop("parent"))
+    return now
 
 
 def judge_urls(
     pages: DataFrame,
-    labels: DataFrame,
     rules: list[Rule],
-    min_support: int = 20,
-    max_depth: int = 8,
+    labels: DataFrame | None = None,
+    min_support: int = 10,
     merge_z: float = 1.96,
     prior_weight: float = 10.0,
-    reject_above: float = 0.3,
+    reject_above: float = 0.5,
     id_col: str = "page_id",
     url_col: str = "url",
-    label_id: str = "doc_id",
-    good_col: str = "quality",
+    label_id: str = "page_id",
+    good_col: str = "good",
 ) -> DataFrame:
     """(id, host, path, rule, verdict, template, bad_share) for every row of pages.
 
     verdict is the longest fitting rule's (a rule fits its host and all subdomains if the path
-    starts with the rule's), else the template tree's: urls are counted into templates per host;
-    sibling branches, which differ in their first literal alone, merge if their labelled share of
-    bad pages is within merge_z standard errors of the siblings' common share; a template is
-    blocked if it has labelled pages and their share of bad ones, smoothed by prior_weight pages of
-    the overall share, is above reject_above. labels gives some pages a 1 (good) or 0 (bad); the largest of several counts.
-
-    Per host and template all is counted by aggregation, so a host with a third of all urls is as
-    good as any. A null url, or one without "://", has host and path ''. A page without a label,
-    or with a null one, counts for support alone; without labels nothing is blocked but by rules.
-    Repeated rows count each time. Only the named columns are read; no pages give no rows.
+    starts with the rule's), else the template tree's: urls are counted into templates per host
+    (templates), statistically similar sibling branches merge on every level (merged), and a
+    template is blocked if it has labelled pages and their share of bad ones, smoothed by
+    prior_weight pages of the overall share, is above reject_above.
+
+    labels gives some pages a 1 (good) or 0 (bad); the smallest of several counts. Without labels the
+    rules' own verdicts are the labels: pages that a rule allows are good, those that one blocks
+    bad, all others unlabelled. So the tree carries what the rules say about a part of a host to
+    urls of the same shape that no rule names.
+
+    All is counted by aggregation and joined by salted joins, so a host or template with a third
+    of all urls is spread over tasks. A null url, or one without "://", has host and path ''. A page without a label,
+    or with a null one, counts for support alone; without any labelled page nothing is blocked but
+    by rules. Paths may have any depth. Repeated rows count each time. Only the named columns are
+    read; no pages give no rows.
     """
     own = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    marks = labels.where(F.col(label_id).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.max(good_col).alias("good"))
-    rows = checkpoint(templates(own.join(marks, "id", "left"), min_support, max_depth))
-    branch = rows.groupBy("host", "template").agg(F.count("good").alias("n"), F.coalesce(F.sum(1 - F.col("good")), F.lit(0)).alias("bad"))
-    parent = F.regexp_replace("template", r"^/[^/]*", "/*")
-    group = branch.groupBy("host", parent.alias("parent")).agg(F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all"))
-    joined = branch.withColumn("parent", parent).join(group, ["host", "parent"])
-    common = F.coalesce(F.try_divide("bad_all", "n_all"), F.lit(0.0))
-    alike = (F.col("n") == 0) | (F.abs(F.col("bad") / F.col("n") - common) <= merge_z * F.sqrt(common * (1 - common) / F.col("n")))
-    merged = joined.withColumn("alike", F.when(F.col("n") == 0, True).otherwise(alike)).withColumn("final", F.when(F.col("alike"), F.col("parent")).otherwise(F.col("template")))
-    final = merged.groupBy("host", "final").agg(F.sum("n").alias("n_f"), F.sum("bad").alias("bad_f"))
-    prior = rows.agg(F.coalesce(F.avg(1 - F.col("good")), F.lit(0.0)).alias("prior"))
-    share = (F.col("bad_f") + prior_weight * F.col("prior")) / (F.col("n_f") + prior_weight)
-    judged = merged.join(final, ["host", "final"]).crossJoin(F.broadcast(prior)).select("host", "template", "final", "n_f", share.alias("bad_share"))
-    out = rows.join(judged, ["host", "template"]).withColumn("own", longest_rule(rules))
+    ruled = longest_rule(rules)
+    if labels is None:
+        own = own.withColumn("good", F.when(ruled["verdict"] == "allow", 1).when(ruled["verdict"] == "block", 0))
+    else:
+        marks = labels.where(F.col(label_id).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.min(good_col).cast("int").alias("good"))
+        own = own.join(marks, "id", "left")
+    rows = templates(own, min_support)
+    branches = merged(rows.groupBy("host", "template").agg(F.count("good").alias("n"), F.coalesce(F.sum(1 - F.col("good")), F.lit(0)).alias("bad")), merge_z)
+    whole = branches.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    prior = whole["bad"] / whole["n"] if whole["n"] else 0.0
+    sums = branches.groupBy("host", "final").agg(F.sum("n").alias("n_f"), F.sum("bad").alias("bad_f"))
+    share = (F.col("bad_f") + prior_weight * prior) / (F.col("n_f") + prior_weight)
+    judged = salted_join(branches.select("host", "template", "final"), sums, ["host", "final"], "template").select("host", "template", "final", "n_f", share.alias("bad_share"))
+    out = salted_join(rows, judged, ["host", "template"], "id").withColumn("own", ruled)
     verdict = F.coalesce("own.verdict", F.when((F.col("n_f") > 0) & (F.col("bad_share") > reject_above), "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.col("final").alias("template"), "bad_share")
+    name = F.concat_ws("", F.transform("final", lambda s: F.concat(F.lit("/"), s)))
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), name.alias("template"), "bad_share")

@@ -96,8 +96,8 @@ def test_url_rules_and_templates(spark):
     urls = ["http://A.example.com/en/1", "https://www.example.com/en/x?q#f", "http://example.net/es/", "http://example.net/esx", None, "no scheme", "http://xcom/", "http://host.org", "a://b?c/d"]
     rows = [(k, u, "h", "allow", "r") for k, u in enumerate(urls)] + [(100 + k, f"http://bad.org/spam/{k}", "h", "x", "r") for k in range(60)] + [(200 + k, f"http://bad.org/fine/{k}", "h", "x", "r") for k in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string, rule string")
-    labels = spark.createDataFrame([(100 + k, 0) for k in range(50)] + [(200 + k, 1) for k in range(50)] + [(None, 1), (3, None)], "doc_id long, quality int")
-    got = {r["page_id"]: r for r in judge_urls(pages, labels, RULES).collect()}
+    labels = spark.createDataFrame([(100 + k, 0) for k in range(50)] + [(200 + k, 1) for k in range(50)] + [(None, 1), (3, None)], "page_id long, good int")
+    got = {r["page_id"]: r for r in judge_urls(pages, RULES, labels).collect()}
     assert len(got) == len(rows)
     assert [(got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) for k in range(9)] == [
         ("a.example.com", "/en/1", "example.com/en/", "block"),
@@ -112,8 +112,28 @@ def test_url_rules_and_templates(spark):
     ]
     assert {(got[k]["template"], got[k]["verdict"]) for k in range(100, 160)} == {("/spam/*", "block")}
     assert {(got[k]["template"], got[k]["verdict"]) for k in range(200, 260)} == {("/fine/*", "allow")}
-    assert judge_urls(pages.limit(0), labels, RULES).count() == 0
-    assert {r["verdict"] for r in judge_urls(pages.where("page_id >= 100"), labels.limit(0), RULES).collect()} == {"allow"}
+    assert judge_urls(pages.limit(0), RULES, labels).count() == 0
+    assert {r["verdict"] for r in judge_urls(pages.where("page_id >= 100"), RULES, labels.limit(0)).collect()} == {"allow"}
+
+
+def test_url_branches_merge_below_the_first_level_and_deep_templates_block(spark):
+    """Small sibling branches deep in a host are too few alone, and blocked once merged; nothing special begins at ten segments."""
+    urls = [f"http://h.org/shop/c{b}/list/{k}" for b in range(12) for k in range(12)] + [f"http://h.org/blog/c{b}/list/{k}" for b in range(12) for k in range(12)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = [(k, 0) for k in range(0, 144, 4)] + [(k, 1) for k in range(144, 288, 2)]
+    got = {r["page_id"]: r for r in judge_urls(pages, [("block", "net", "/es/")], spark.createDataFrame(marks, "page_id long, good int")).collect()}
+    assert {(got[k]["template"], got[k]["verdict"]) for k in range(144)} == {("/shop/*/list/*", "block")}
+    assert {(got[k]["template"], got[k]["verdict"]) for k in range(144, 288)} == {("/blog/*/list/*", "allow")}
+
+
+def test_url_rules_seed_the_tree(spark):
+    """Without labels the rules' verdicts are the labels; ten segments are as good as two."""
+    deep = [f"http://d.net/{part}/{'/'.join(map(str, range(8)))}/{k}" for part in ("es", "xx") for k in range(15)] + [f"http://s.net/{'es' if k < 8 else 'en'}/{k}" for k in range(9)]
+    pages = spark.createDataFrame(list(enumerate(deep)), "page_id long, url string")
+    got = {r["page_id"]: r for r in judge_urls(pages, [("block", "net", "/es/")], min_support=15).collect()}
+    assert {got[k]["template"] for k in range(15)} == {"/es/0/1/2/3/4/5/6/7/*"} and {got[k]["template"] for k in range(15, 30)} == {"/xx/0/1/2/3/4/5/6/7/*"}
+    assert [got[k]["verdict"] for k in range(30)] == ["block"] * 15 + ["allow"] * 15
+    assert (got[38]["rule"], got[38]["template"], got[38]["verdict"]) == (None, "/*/*", "block")
 
 
 def test_mixing_meets_targets(docs, rows):
