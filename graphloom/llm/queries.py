@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe
 from graphloom.llm.common import table
 from graphloom.llm.linedup import remove_boilerplate
-from graphloom.llm.mixing import OTHER, TOPICS, mix
+from graphloom.llm.mixing import LEAST_MARKS, OTHER, TOPICS, mix
 from graphloom.llm.rotated import nearest
 from graphloom.llm.sharding import assign_shards
 from graphloom.llm.simhash import simhash_components
@@ -35,9 +35,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+MIX_KEEP = 0.6
+MIX_TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, "topic": {"prose": 0.6, "symbols": 0.05, "contact": 0.05}}
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(F.col(f"mix__{c}").alias(c) for c in ("source", "lang", "topic", "tokens")), F.round("mix__prob", 6).alias("prob"), F.col("mix__kept").alias("kept"))
+    found = mix(table(spark, sf_dir, "documents"), keep_share=MIX_KEEP, targets=MIX_TARGETS)
+    return found.select("doc_id", *(F.col(f"mix__{c}").alias(c) for c in ("source", "lang", "topic", "tokens")), F.round("mix__prob", 5).alias("prob"), F.col("mix__kept").alias("kept"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,15 +118,24 @@ FROM t JOIN f ON t.host = f.host AND t.tpl = f.tpl""")
     return "WITH " + ",\n".join(steps)
 
 
-def mix_sql(keep: float = 0.9, power: float = 0.7, rounds: int = 10, fills: int = 6) -> str:
-    topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{part}') THEN '{name}'" for name, part in TOPICS) + f" ELSE '{OTHER}' END"
+def mix_sql(keep: float = MIX_KEEP, power: float = 0.7, rounds: int = 104, fills: int = 16) -> str:
+    """Loops that end on convergence, written out to numbers of rounds at which they have converged."""
+    marks = {name: " + ".join(f"CAST(floor((length(x) - length(replace(x, '{m}', ''))) / {len(m)}) AS BIGINT)" for m in some) for name, some in TOPICS.items()}
+    best = ", ".join(f"t_{name}" for name in marks)
+    topic = f"CASE WHEN greatest({best}) > 0 AND greatest({best}) * 1000 >= greatest(tokens, 1) * {LEAST_MARKS} THEN CASE " + " ".join(f"WHEN t_{n} = greatest({best}) THEN '{n}'" for n in marks) + f" END ELSE '{OTHER}' END"
     steps = [
-        f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic,
- coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens FROM documents)""",
+        f"""c0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x,
+ coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens FROM documents),
+c1 AS (SELECT *, {", ".join(f"{e} AS t_{n}" for n, e in marks.items())} FROM c0),
+d AS (SELECT doc_id, source, lang, {topic} AS topic, tokens FROM c1)""",
         "w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM d GROUP BY 1, 2, 3)",
     ]
     for m in ("source", "lang", "topic"):
-        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(t, {power}) / sum(pow(t, {power})) OVER () AS target FROM (SELECT {m}, sum(tokens)::DOUBLE AS t FROM w0 GROUP BY 1) WHERE t > 0)")
+        given = MIX_TARGETS.get(m, {})
+        named = "CASE " + " ".join(f"WHEN {m} = '{v}' THEN {w}::DOUBLE" for v, w in given.items()) + " END" if given else "NULL::DOUBLE"
+        steps.append(f"""u_{m} AS (SELECT {m}, {named} AS named, CASE WHEN {named} IS NULL THEN pow(t, {power}) ELSE 0 END AS t FROM (SELECT {m}, sum(tokens)::DOUBLE AS t FROM w0 GROUP BY 1) WHERE t > 0),
+v_{m} AS (SELECT {m}, coalesce(named, coalesce(t / nullif(sum(t) OVER (), 0), 0) * {max(0.0, 1 - sum(given.values()))}) AS raw FROM u_{m}),
+t_{m} AS MATERIALIZED (SELECT {m}, raw / sum(raw) OVER () AS target FROM v_{m})""")
     k = 0
     for _ in range(rounds):
         for m in ("source", "lang", "topic"):
@@ -136,7 +149,7 @@ def mix_sql(keep: float = 0.9, power: float = 0.7, rounds: int = 10, fills: int
  FROM r, f{i - 1})""")
     steps.append(f"c AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, ratio * s) ELSE 1.0 END AS p FROM r, f{fills})")
     return "WITH " + ",\n".join(steps) + """
-SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS prob, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT / pow(2, 60) < p AS kept
+SELECT doc_id, source, lang, topic, tokens, round(p, 5) AS prob, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT / pow(2, 60) < p AS kept
 FROM d JOIN c USING (source, lang, topic)"""
 
 

@@ -18,8 +18,6 @@ from graphloom.llm.common import checkpoint, short_batches, trim
 
 #: At most so many labelled rows fit the model, taken by a hash of their id.
 MAX_FIT_ROWS = 20_000
-#: The lexicon keeps at most so many entries, the most significant ones.
-MAX_LEXICON = 3_000
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’…"
@@ -128,7 +126,11 @@ def fold(id_col: Column) -> Column:
 
 
 def learn_lexicon(texts: DataFrame) -> dict[str, float]:
-    """texts (text, toxic) -> form: log odds of standing in a toxic text, of the significant forms."""
+    """texts (text, toxic) -> form: log odds of standing in a toxic text, of all significant forms.
+
+    A form counts if three toxic texts have it, its odds are e^2 or more and two standard errors
+    above even. There is no other limit: what the driver holds is bounded by the texts, a sample.
+    """
 
     def count(batches):
         toxic, clean = Counter(), Counter()
@@ -146,8 +148,7 @@ def learn_lexicon(texts: DataFrame) -> dict[str, float]:
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     odds = F.log(t / (n_toxic + 1)) - F.log(c / (n_clean + 1))
     rated = counts.where("t >= 3").withColumn("weight", odds).withColumn("z", odds / F.sqrt(1 / t + 1 / c))
-    best = rated.where("weight >= 2 AND z >= 2").orderBy(F.desc("z"), "form").limit(MAX_LEXICON)
-    return {r["form"]: float(r["weight"]) for r in best.collect()}
+    return {r["form"]: float(r["weight"]) for r in rated.where("weight >= 2 AND z >= 2").orderBy("form").collect()}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS, carry: bool = False) -> DataFrame:

@@ -152,6 +152,32 @@ def test_mixing_given_targets(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_raking_converges_and_reports_what_is_left(spark):
+    """Independent numpy raking over the cells; several partitions of cells give the same; contradictory targets end with an error."""
+    from graphloom.llm import mixing
+
+    rng = np.random.default_rng(8)
+    cells = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 900))) for a in range(4) for b in range(3) for c in range(2)]
+    aims = {"source": {f"s{a}": (a + 1) / 10 for a in range(4)}, "lang": {"l0": 0.2, "l1": 0.3, "l2": 0.5}, "topic": {"t0": 0.4, "t1": 0.6}}
+    w = np.array([c[3] for c in cells], float)
+    for _ in range(200):
+        for k, m in enumerate(aims):
+            for v, t in aims[m].items():
+                on = np.array([c[k] == v for c in cells])
+                w[on] *= t / w[on].sum()
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {m: spark.createDataFrame(list(a.items()), f"{m} string, target double") for m, a in aims.items()}
+    for size in (10**6, 5):
+        mixing.CELLS, before = size, mixing.CELLS
+        got, error = mixing.rake(df, targets, 1e-9, 100)
+        mixing.CELLS = before
+        assert error <= 1e-9
+        weight = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in got.collect()}
+        assert all(math.isclose(weight[c[:3]], x, rel_tol=1e-6) for c, x in zip(cells, w))
+    two = df.where("(source = 's0') = (lang = 'l0')")  # s0 and l0 only together, but wanted at 0.1 and 0.2
+    assert mixing.rake(two, targets, 1e-9, 8)[1] > 0.01
+
+
 def test_features_of_odd_texts():
     codes = Codes({"idiot": 5.0, "moro~": 4.0}, 4.5)
     assert features(None, codes) == features("", codes) == [0.0] * len(FEATURES)
