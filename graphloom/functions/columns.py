@@ -13,7 +13,7 @@ LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javas
 
 
 def lookup(key: Column, values: dict, other) -> Column:
-    found = F.lit(other)
+    found = F.lit(other) if other is not None else F.lit(None).cast("string")
     for k, v in values.items():
         found = F.when(key == k, F.lit(v)).otherwise(found)
     return found
@@ -36,8 +36,8 @@ def route_key_of_label(label: Column) -> Column:
 
 
 def api_path(path: Column) -> Column:
-    """An /api/ path without query and trailing slashes, its parameters as :param; null for others."""
-    cut = F.regexp_replace(F.regexp_replace(F.trim(path), r"\?.*$", ""), "/+$", "")
+    """An /api/ path without query, quotes around it and trailing slashes, its parameters as :param; null for others."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(path), r"\?.*$", ""), r"""^["'`]+|["'`]+$""", ""), "/+$", "")
     named = F.transform(F.split(cut, "/"), lambda s: F.when(s.startswith(":") | F.contains(s, F.lit("${")), ":param").otherwise(s))
     return F.when(cut.startswith("/api/"), F.array_join(named, "/"))
 

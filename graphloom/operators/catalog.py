@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
+from graphloom.functions import names as N
 from graphloom.operators.modes import degree
 
 
@@ -104,19 +105,18 @@ def diagnostics_by_file(diagnostics: DataFrame) -> DataFrame:
     return counts.withColumn("worst", worst)
 
 
-def diagnostics_at_symbols(nodes: DataFrame, diagnostics: DataFrame, height: int = 20) -> DataFrame:
-    """(id, node_id): symbols whose lines, height from their first, hold a diagnostic's line. An equi-join on file and band of lines."""
-    symbols = nodes.where("file IS NOT NULL AND line IS NOT NULL").select("file", F.col("id").alias("node_id"), "line", F.explode(F.sequence(F.floor(F.col("line") / height), F.floor((F.col("line") + height - 1) / height))).alias("band"))
-    marks = diagnostics.select("id", "file", F.col("line").alias("at"), F.floor(F.col("line") / height).alias("band"))
-    return marks.join(symbols, ["file", "band"]).where(F.col("at").between(F.col("line"), F.col("line") + height - 1)).select("id", "node_id")
+def top_diagnostics(diagnostics: DataFrame, severity: str | None = None, language: str | None = None, limit: int = 100) -> DataFrame:
+    """The first diagnostics by file and id, of a severity and a language (by any of its names) where given."""
+    own = diagnostics.where(F.col("severity") == severity) if severity else diagnostics
+    own = own.where(F.col("language") == N.language_of_name(F.lit(language))) if language else own
+    return own.orderBy("file", "id").limit(limit).select("id", "file", "severity", "language")
 
 
-def smallest_symbol(nodes: DataFrame, diagnostics: DataFrame, height: int = 20) -> DataFrame:
-    """(id, node_id): of the symbols that hold a diagnostic, the last to begin, ties to the smaller id; else the file node."""
-    inside = diagnostics_at_symbols(nodes, diagnostics, height).join(nodes.select(F.col("id").alias("node_id"), "line"), "node_id")
-    best = inside.groupBy("id").agg(F.min_by("node_id", F.struct(-F.col("line"), "node_id")).alias("node_id"))
-    files = nodes.where("type = 'File'").select("file", F.col("id").alias("file_id"))
-    return diagnostics.select("id", "file").join(best, "id", "left").join(files, "file", "left").select("id", F.coalesce("node_id", "file_id").alias("node_id"))
+def detached_files(nodes: DataFrame, limit: int = 200) -> DataFrame:
+    """(id, file, total): the first detached Rust files by file and label, and how many there are in all."""
+    own = nodes.where("type = 'File' AND language = 'rust' AND reachability = 'Detached'")
+    total = F.broadcast(own.agg(F.count("*").alias("total")))  # one row
+    return own.orderBy("file", "label").limit(limit).crossJoin(total).select("id", "file", "total")
 
 
 def check_status(checks: DataFrame) -> DataFrame:

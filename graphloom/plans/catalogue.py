@@ -12,7 +12,8 @@ from graphloom.operators import modes as M
 from graphloom.operators import modules as P
 from graphloom.operators import traces as X
 from graphloom.operators import traverse as T
-from graphloom.plans.driver_graph import TERA, duckdb_ctes, load
+from graphloom.operators import resolve as R
+from graphloom.plans.driver_graph import TERA, duckdb_ctes, load, settled
 from graphloom.streaming.diagnostics import replay
 
 QUERIES: dict = {}
@@ -30,6 +31,10 @@ def quoted(names) -> str:
     return ", ".join(f"'{n}'" for n in (names.split() if isinstance(names, str) else names))
 
 
+def pair(g):
+    return g.nodes, g.edges
+
+
 def both(nodes, edges):
     return nodes.select(F.lit("node").alias("part"), "id", "type").union(edges.select(F.lit("edge"), "id", "type"))
 
@@ -40,15 +45,15 @@ full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS connections FROM nodes LEFT JOI
 
 def mode_sql(mode: str) -> str:
     more = "OR (type IN ('Function', 'Method', 'Handler') AND (visibility IN ('pub', 'pub(crate)') OR signature IS NOT NULL OR connections >= 2))" if mode == "meso" else ""
-    out = DEGREE + f""", n0 AS (SELECT * FROM full_nodes WHERE (type IN ({quoted(M.TYPES[mode])}) {more}) AND reachability IS DISTINCT FROM 'Detached'),
-ends AS (SELECT * FROM edges WHERE source IN (SELECT id FROM n0) AND target IN (SELECT id FROM n0)),
+    out = DEGREE + f""", n0 AS MATERIALIZED (SELECT * FROM full_nodes WHERE (type IN ({quoted(M.TYPES[mode])}) {more}) AND reachability IS DISTINCT FROM 'Detached'),
+ends AS MATERIALIZED (SELECT * FROM edges WHERE source IN (SELECT id FROM n0) AND target IN (SELECT id FROM n0)),
 e0 AS (SELECT * FROM ends WHERE type IN ({quoted(M.EDGE_TYPES[mode])}))"""
     if mode == "callflow":
         out += ", e1 AS (SELECT * FROM e0 UNION ALL SELECT * FROM ends WHERE type = 'Contains' AND NOT EXISTS (SELECT 1 FROM e0))"
     else:
         out += ", e1 AS (SELECT * FROM e0)"
     if mode in M.SEMANTIC:
-        out += f""", t AS (SELECT source AS id FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])}) UNION SELECT target FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])})),
+        out += f""", t AS MATERIALIZED (SELECT source AS id FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])}) UNION SELECT target FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])})),
 n1 AS (SELECT * FROM n0 WHERE id IN (SELECT id FROM t) OR NOT EXISTS (SELECT 1 FROM t)),
 e2 AS (SELECT * FROM e1 WHERE (source IN (SELECT id FROM t) AND target IN (SELECT id FROM t)) OR NOT EXISTS (SELECT 1 FROM t))"""
     else:
@@ -57,7 +62,7 @@ e2 AS (SELECT * FROM e1 WHERE (source IN (SELECT id FROM t) AND target IN (SELEC
 
 
 for _mode in M.TYPES:
-    graph_query(f"mode_{_mode}", mode_sql(_mode), lambda g, m=_mode: both(*M.filter_snapshot(g.nodes, g.edges, m)))
+    graph_query(f"mode_{_mode}", mode_sql(_mode), lambda g, m=_mode: both(*M.filter_snapshot(*pair(settled(g)), m)))
 
 graph_query("degree", DEGREE + " SELECT id, connections FROM full_nodes", lambda g: M.degree(g.nodes, g.edges).select("id", "connections"))
 
@@ -113,8 +118,14 @@ d AS (SELECT f.id, f.type, level, CASE WHEN f.type = 'ExternalCrate' OR (f.type
  WHEN f.type IN ('Endpoint', 'Struct', 'Class', 'Object', 'Enum', 'Trait', 'Impl', 'Component', 'Hook', 'Interface', 'TypeAlias') THEN 3
  WHEN f.type IN ('Function', 'Method', 'Handler') AND (visibility IN ('pub', 'pub(crate)') OR coalesce(signature, '') <> '' OR connections >= 2) THEN 3 ELSE 4 END AS depth
  FROM full_nodes f LEFT JOIN least ON f.id = least.id)"""
+
+
+def layered(g, depth):
+    return T.hierarchy(M.degree(g.nodes, g.edges), g.edges, depth)
+
+
 for _d in (1, 2, 3):
-    graph_query(f"hierarchy_d{_d}", LEVELS + f" SELECT id, type, level FROM d WHERE depth <= {_d} AND (level IS NULL OR level <= {_d + 1})", lambda g, d=_d: T.hierarchy(M.degree(g.nodes, g.edges), g.edges, d))
+    graph_query(f"hierarchy_d{_d}", LEVELS + f" SELECT id, type, level FROM d WHERE depth <= {_d} AND (level IS NULL OR level <= {_d + 1})", lambda g, d=_d: layered(settled(g), d))
 
 OWN = """, grp AS (SELECT id AS owner, seq AS position FROM nodes WHERE type = 'Module'),
 cl AS (SELECT owner, position, e.target AS id FROM grp JOIN edges e ON e.source = owner AND e.type = 'Contains' UNION SELECT owner, position, e.target FROM cl JOIN edges e ON e.source = cl.id AND e.type = 'Contains'),
@@ -208,8 +219,8 @@ graph_query(
 )
 graph_query(
     "detached_files",
-    " SELECT id, file FROM nodes WHERE type = 'File' AND language = 'rust' AND reachability = 'Detached' ORDER BY file, label LIMIT 200",
-    lambda g: g.nodes.where("type = 'File' AND language = 'rust' AND reachability = 'Detached'").orderBy("file", "label").limit(200).select("id", "file"),
+    " SELECT id, file, count(*) OVER () AS total FROM nodes WHERE type = 'File' AND language = 'rust' AND reachability = 'Detached' ORDER BY file, label LIMIT 200",
+    lambda g: K.detached_files(g.nodes),
 )
 graph_query(
     "diag_severity",
@@ -218,19 +229,39 @@ graph_query(
     lambda g: K.diagnostics_by_file(g.diagnostics),
 )
 graph_query("diag_by_file", " SELECT file, count(*) AS n, min(line) AS first_line FROM diagnostics GROUP BY file", lambda g: g.diagnostics.groupBy("file").agg(F.count("*").alias("n"), F.min("line").alias("first_line")))
-graph_query("diag_top", " SELECT id, file, severity FROM diagnostics WHERE severity = 'Error' ORDER BY file, id LIMIT 100", lambda g: g.diagnostics.where("severity = 'Error'").orderBy("file", "id").limit(100).select("id", "file", "severity"))
-OVERLAP = " SELECT d.id, n.id AS node_id, n.line FROM diagnostics d JOIN nodes n ON d.file = n.file AND n.line IS NOT NULL AND d.line BETWEEN n.line AND n.line + 19"
-graph_query("diag_overlap", f" SELECT id, node_id FROM ({OVERLAP})", lambda g: K.diagnostics_at_symbols(g.nodes, g.diagnostics))
-graph_query("diag_by_node", f" SELECT node_id, count(*) AS n FROM ({OVERLAP}) GROUP BY node_id", lambda g: K.diagnostics_at_symbols(g.nodes, g.diagnostics).groupBy("node_id").agg(F.count("*").alias("n")))
 graph_query(
-    "enclosing_symbol",
-    f", ov AS ({OVERLAP}), b AS (SELECT id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line DESC, node_id) AS p FROM ov) WHERE p = 1) SELECT d.id, coalesce(b.node_id, f.id) AS node_id FROM diagnostics d LEFT JOIN b ON d.id = b.id LEFT JOIN nodes f ON f.type = 'File' AND f.file = d.file",
-    lambda g: K.smallest_symbol(g.nodes, g.diagnostics),
+    "diag_top",
+    " SELECT id, file, severity, language FROM diagnostics WHERE severity = 'Error' AND language = 'python' ORDER BY file, id LIMIT 100",
+    lambda g: K.top_diagnostics(g.diagnostics, "Error", "PY"),
 )
+# Ranges of the projection: symbols from their line to their end, diagnostics up to two lines on.
+SPANS = """, sy AS (SELECT id, seq, file, line AS start_line, CAST(seq % 8 AS INT) AS start_char, end_line, CAST(20 + seq % 30 AS INT) AS end_char FROM nodes WHERE file IS NOT NULL AND end_line IS NOT NULL),
+dg AS (SELECT id AS probe, file, line AS start_line, CAST(seq % 50 AS INT) AS start_char, CAST(line + seq % 3 AS INT) AS end_line, 10 AS end_char FROM diagnostics)"""
+AFTER = "{a}_line * 100000 + {a}_char <= {b}_line * 100000 + {b}_char"
+OVERLAP = f" SELECT probe AS id, sy.id AS node_id FROM dg JOIN sy ON dg.file = sy.file AND {AFTER.format(a='dg.start', b='sy.end')} AND {AFTER.format(a='sy.start', b='dg.end')}"
+
+
+def symbol_ranges(g):
+    return g.nodes.where("file IS NOT NULL AND end_line IS NOT NULL").selectExpr("id", "seq", "file", "line AS start_line", "CAST(seq % 8 AS INT) AS start_char", "end_line", "CAST(20 + seq % 30 AS INT) AS end_char")
+
+
+def diagnostic_ranges(g):
+    return g.diagnostics.selectExpr("id AS probe", "file", "line AS start_line", "CAST(seq % 50 AS INT) AS start_char", "CAST(line + seq % 3 AS INT) AS end_line", "10 AS end_char")
+
+
+def at_symbols(g):
+    return R.overlapping(diagnostic_ranges(g), symbol_ranges(g)).select(F.col("probe").alias("id"), F.col("id").alias("node_id"))
+
+
+graph_query("diag_overlap", SPANS + OVERLAP, at_symbols)
+graph_query("diag_by_node", SPANS + f" SELECT node_id, count(*) AS n FROM ({OVERLAP}) GROUP BY node_id", lambda g: at_symbols(g).groupBy("node_id").agg(F.count("*").alias("n")))
+HELD = f"SELECT probe, sy.id, greatest(sy.end_line - sy.start_line, 0) * 10000 + greatest(sy.end_char - sy.start_char, 0) AS span, seq FROM dg JOIN sy ON dg.file = sy.file AND {AFTER.format(a='sy.start', b='dg.start')} AND {AFTER.format(a='dg.start', b='sy.end')}"
 graph_query(
-    "timeline",
-    " SELECT id, severity AS kind, ts FROM diagnostics WHERE severity IN ('Error', 'Warning')",
-    lambda g: g.diagnostics.where("severity IN ('Error', 'Warning')").select("id", F.col("severity").alias("kind"), "ts"),
+    "enclosing_symbol",
+    SPANS + f", b AS (SELECT probe, id FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY span, seq) AS p FROM ({HELD})) WHERE p = 1) SELECT d.id, coalesce(b.id, f.id) AS node_id FROM diagnostics d LEFT JOIN b ON d.id = b.probe LEFT JOIN nodes f ON f.type = 'File' AND f.file = d.file",
+    lambda g: R.smallest_at(
+        diagnostic_ranges(g).select("probe", "file", F.col("start_line").alias("line"), F.col("start_char").alias("char")), symbol_ranges(g), g.nodes.where("type = 'File'").select("file", F.col("id").alias("file_id"))
+    ).select(F.col("probe").alias("id"), F.col("id").alias("node_id")),
 )
 graph_query(
     "check_status",

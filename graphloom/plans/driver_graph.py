@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.functions.session import table
+from graphloom.functions.session import checkpoint, table
 
 SYMBOL = "CASE o_orderkey % 6 WHEN 0 THEN 'Function' WHEN 1 THEN 'Method' WHEN 2 THEN 'Component' WHEN 3 THEN 'Hook' WHEN 4 THEN 'Handler' ELSE 'Endpoint' END"
 PART = "CASE p_partkey % 6 WHEN 0 THEN 'Struct' WHEN 1 THEN 'Enum' WHEN 2 THEN 'Trait' WHEN 3 THEN 'Impl' WHEN 4 THEN 'Interface' ELSE 'TypeAlias' END"
@@ -19,16 +19,16 @@ TERA = 1_000_000_000_000  # keeps the order of the kinds of rows in seq
 
 NODES = f"""
 SELECT CAST(r_regionkey AS BIGINT) AS seq, concat('crate:', r_name) AS id, 'Module' AS type, r_name AS label, CAST(NULL AS STRING) AS file, 'crate root' AS module, r_name AS crate,
- CAST(NULL AS INT) AS line, 'pub' AS visibility, CAST(NULL AS STRING) AS signature, 'Active' AS reachability, 'rust' AS language FROM {{region}}
-UNION ALL SELECT {TERA} + n_nationkey, concat('module:', n_name), 'Module', n_name, NULL, n_name, n_name, NULL, 'pub', NULL, 'Active', 'rust' FROM {{nation}}
-UNION ALL SELECT 2 * {TERA} + s_suppkey, concat('external:', s_name), 'ExternalCrate', s_name, NULL, NULL, 'external', NULL, NULL, NULL, 'External', NULL FROM {{supplier}}
+ CAST(NULL AS INT) AS line, 'pub' AS visibility, CAST(NULL AS STRING) AS signature, 'Active' AS reachability, 'rust' AS language, CAST(NULL AS INT) AS end_line FROM {{region}}
+UNION ALL SELECT {TERA} + n_nationkey, concat('module:', n_name), 'Module', n_name, NULL, n_name, n_name, NULL, 'pub', NULL, 'Active', 'rust', NULL FROM {{nation}}
+UNION ALL SELECT 2 * {TERA} + s_suppkey, concat('external:', s_name), 'ExternalCrate', s_name, NULL, NULL, 'external', NULL, NULL, NULL, 'External', NULL, NULL FROM {{supplier}}
 UNION ALL SELECT 3 * {TERA} + c_custkey, concat('file:', {PATH}), 'File', c_name, {PATH}, lower(c_mktsegment), n_name, NULL, NULL, NULL, {REACH},
- CASE c_custkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' ELSE 'qml' END FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey
+ CASE c_custkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' ELSE 'qml' END, NULL FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey
 UNION ALL SELECT 4 * {TERA} + o_orderkey, concat('sym:', CAST(o_orderkey AS STRING)), {SYMBOL}, {LABEL}, {PATH}, lower(c_mktsegment), n_name, CAST(o_orderkey % 400 + 1 AS INT),
  CASE o_orderstatus WHEN 'O' THEN 'pub' WHEN 'F' THEN 'private' ELSE 'pub(crate)' END, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('fn ', {LABEL}) END, {REACH},
- CASE c_custkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' ELSE 'qml' END
+ CASE c_custkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' ELSE 'qml' END, CAST(o_orderkey % 400 + 1 + o_orderkey % 37 AS INT)
  FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey
-UNION ALL SELECT 5 * {TERA} + p_partkey, concat('part:', CAST(p_partkey AS STRING)), {PART}, p_name, NULL, p_brand, p_brand, NULL, 'pub', NULL, 'Active', 'rust' FROM {{part}}
+UNION ALL SELECT 5 * {TERA} + p_partkey, concat('part:', CAST(p_partkey AS STRING)), {PART}, p_name, NULL, p_brand, p_brand, NULL, 'pub', NULL, 'Active', 'rust', NULL FROM {{part}}
 """
 
 EDGES = f"""
@@ -73,5 +73,10 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(**{k: spark.sql(q, **{t: d for t, d in tables.items() if "{" + t + "}" in q}) for k, q in PARTS.items()})
 
 
+def settled(graph: Graph) -> Graph:
+    """The graph with its nodes and edges computed once, for queries that use them in several places."""
+    return replace(graph, nodes=checkpoint(graph.nodes), edges=checkpoint(graph.edges))
+
+
 def duckdb_ctes() -> str:
-    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({q.format(**{t: t for t in TABLES})})" for k, q in PARTS.items())
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS MATERIALIZED ({q.format(**{t: t for t in TABLES})})" for k, q in PARTS.items())

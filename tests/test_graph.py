@@ -11,7 +11,7 @@ from graphloom.functions import columns as C
 from graphloom.operators import catalog as K
 from graphloom.operators import modes as M
 from graphloom.operators import traverse as T
-from graphloom.plans import catalogue
+from graphloom.plans import catalogue, catalogue_sources, catalogue_views  # noqa: F401
 
 NODE = "seq long, id string, type string, label string, file string, module string, crate string, line int, visibility string, signature string, reachability string, language string"
 EDGE = "seq long, id string, source string, target string, type string, confidence string, label string, evidence string, kind string"
