@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import parallelism, short_batches, trim
 
 #: White space as Unicode has it (Python's own \s also takes in U+001C to U+001F).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word is a run without white space with one space before it, if there is one. The merges'
 #: own pieces never cross the ends of such a word, so a word's ids don't depend on its neighbours.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -218,7 +218,8 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
     """encoded and a column of decoded text: every id joins its piece, pieces concatenate by position.
 
     The id-to-piece table is as large as the vocabulary file, whatever the corpus, so it is
-    broadcast; ids that it lacks have no bytes. Bytes that aren't UTF-8 become U+FFFD. A null list
+    broadcast and the join is a look-up by position in it (an Arrow take), which keeps the order
+    of ids without a shuffle of every token; ids that it lacks have no bytes. Bytes that aren't UTF-8 become U+FFFD. A null list
     gives null.
     """
     spec = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
