@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe
 from graphloom.llm.common import table
+from graphloom.llm.exactdedup import exact_copies
 from graphloom.llm.linedup import remove_boilerplate
 from graphloom.llm.mixing import LEAST_MARKS, OTHER, TOPICS, mix
 from graphloom.llm.rotated import nearest
@@ -79,7 +80,11 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line__count").alias("n_lines"), F.col("line__removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_mixing, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines)}
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_mixing, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines, op11_exact)}
 
 #: Lines of documents with the spread of their trimmed text over sites, and who has it first.
 LINES_SQL = r"""
@@ -174,6 +179,11 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_exact": r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM r
 """,
     "op10_lines": f"""
 WITH {LINES_SQL}
