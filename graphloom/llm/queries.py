@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe
+from graphloom.llm.align import align, default_paths
 from graphloom.llm.common import table
 from graphloom.llm.exactdedup import exact_copies
 from graphloom.llm.linedup import remove_boilerplate
@@ -13,6 +14,7 @@ from graphloom.llm.mixing import LEAST_MARKS, OTHER, TOPICS, mix
 from graphloom.llm.rotated import nearest
 from graphloom.llm.sharding import assign_shards
 from graphloom.llm.simhash import simhash_components
+from graphloom.llm.spelling import spelling_variants
 from graphloom.llm.substring import remove_repeats
 from graphloom.llm.toxicity import score_toxicity
 from graphloom.llm.urltree import judge_urls
@@ -84,7 +86,19 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_mixing, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines, op11_exact)}
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), *default_paths(spark))
+
+
+#: Words whose hash with their document's id this divides lose a letter.
+MISSPELT = 97
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), every=MISSPELT)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_mixing, op4_simhash, op5_vafile, op6_substring, op7_urltree, op8_rotated, op9_bpe, op10_lines, op11_exact, op12_align, op13_spelling)}
 
 #: Lines of documents with the spread of their trimmed text over sites, and who has it first.
 LINES_SQL = r"""
