@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, salted_join, short_batches, trim
+from graphloom.llm.common import checkpoint, parallelism, salted_join, short_batches, trim
 
 #: Letters after A-Z are lower-cased: a-z and U+00C0 to U+00FF.
 LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]))
@@ -21,6 +21,8 @@ RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
 SIZES = (4, 6, 8, 12, 16, 24, 32, 48, len(LETTERS))
 #: An alphabet is large enough when a word shares its reduced word with so many on average.
 CROWD = 8
+#: Bytes of text for each file of what is kept of the vocabulary: a file costs more than its few words.
+PART_BYTES = 16 << 20
 #: Odd multiplier of the polynomial hash that stands for a reduced word; pairs are verified, so a collision costs a comparison.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,11 +138,12 @@ def reduced_to(words: DataFrame) -> tuple[DataFrame, str]:
             return out, "".join(sorted(set(letters)))
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
+def near_pairs(words: DataFrame, parts: int = 8) -> DataFrame:
     """(word, n, other, other_n) of the distinct words (word, n) that differ by exactly one inserted, deleted or replaced code point, each pair once.
 
     Each distinct reduced word sends the hashes of its whole one-edit neighbourhood, which are joined to the hashes of the reduced vocabulary;
     two words within one edit have reduced words within one edit, or the same. What meets is verified by the edit distance of the words themselves.
+    The vocabulary is kept in `parts` files.
     """
     words, letters = reduced_to(words)
     alphabet = np.array([ord(c) for c in letters], np.uint64)
@@ -160,7 +163,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 out[at] = hashes(m)
             yield pa.record_batch({"word": b["word"], "n": b["n"], "k": pa.array(out.view(np.int64))})
 
-    keyed = checkpoint(words.select("word", "n", "reduced").mapInArrow(hashed, "word string, n bigint, k bigint"))
+    keyed = checkpoint(words.select("word", "n", "reduced").mapInArrow(hashed, "word string, n bigint, k bigint").coalesce(parts))
     keys = keyed.select(F.col("k").alias("near")).distinct()
     around = words.select("reduced").distinct().mapInArrow(spread, "k bigint, near bigint").where("k <= near")
     met = around.join(keys, "near").distinct()
@@ -170,12 +173,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").where("word <> other")
 
 
-def roots(forms: DataFrame) -> DataFrame:
+def roots(forms: DataFrame, parts: int = 8) -> DataFrame:
     """(word, root) for (word, form): forms are followed to the last by doubling, one salted join a round."""
-    now = checkpoint(forms.select("word", F.col("form").alias("root")))
+    now = forms.select("word", F.col("form").alias("root"))
     while True:
         table = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        both = checkpoint(salted_join(now, table, "root", "word", "left"))
+        both = checkpoint(salted_join(now, table, "root", "word", "left").coalesce(parts))
         if both.where("next IS NOT NULL").isEmpty():
             return now
         now = both.select("word", F.coalesce("next", "root").alias("root"))
@@ -195,12 +198,16 @@ def spelling_variants(
     """
     if factor <= 1:
         raise ValueError("factor must be over 1")
-    words = checkpoint(word_counts(docs, id_col, text_col, every).where((F.col("n") >= min_count) & (F.length("word") >= min_length)))
-    pairs = checkpoint(near_pairs(words))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(parallelism(docs.sparkSession), -(-total // PART_BYTES))
+    words = word_counts(docs, id_col, text_col, every).where((F.col("n") >= min_count) & (F.length("word") >= min_length))
+    words = checkpoint(words.coalesce(parts))
+    pairs = checkpoint(near_pairs(words, parts).coalesce(parts))
     each = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     near = each.groupBy("word").agg(F.max("n").alias("own"), F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("rank"), "other")).alias("best"))
     strong = -F.col("best.rank") >= factor * F.col("own")
-    near = checkpoint(near.select("word", "n_near", F.when(strong, F.col("best.other")).alias("form"), F.when(strong, -F.col("best.rank")).alias("form_n")))
-    last = roots(near.where("form IS NOT NULL"))
+    near = near.select("word", "n_near", F.when(strong, F.col("best.other")).alias("form"), F.when(strong, -F.col("best.rank")).alias("form_n"))
+    near = checkpoint(near.coalesce(parts))
+    last = roots(near.where("form IS NOT NULL"), parts)
     out = words.join(near, "word", "left").join(last, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form_n")
