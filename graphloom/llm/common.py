@@ -84,12 +84,21 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, longer by as many _ as it takes not to be a column of the frames."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def salted_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str | list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """rows joined to a table that has one row a key, with the rows of one key spread over `salts` tasks by the hash of their columns `by`.
 
     The table is repeated once a salt, which is little beside rows of which a third may have one key.
     """
     keys, by = [key] if isinstance(key, str) else key, [by] if isinstance(by, str) else by
-    left = rows.withColumn("join__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    right = table.withColumn("join__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "join__salt"], how).drop("join__salt")
+    salt = unused("join__salt", rows, table)
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    right = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, salt], how).drop(salt)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, remove, salted_join, written
+from graphloom.llm.common import checkpoint, remove, salted_join, unused, written
 
 #: log2 of a sketch's registers; the relative standard error is 1.04 / sqrt(2^12), under 2 %.
 LG_K = 12
@@ -65,15 +65,16 @@ def remove_boilerplate(
         hit = hit.where(~F.struct("id", "of", "pos").eqNullSafe(F.col("first")))
     gone = checkpoint(hit.groupBy("id", "of").agg(F.array_distinct(F.collect_list("pos")).alias("gone")))
     remove(docs.sparkSession, path)
-    rest = docs.drop("line__count", "line__removed").withColumn("line__of", F.xxhash64(text_col))
-    gone = gone.select(F.col("id").alias("line__id"), F.col("of").alias("line__of2"), F.col("gone").alias("line__gone"))
-    both = rest.join(gone, F.col(id_col).eqNullSafe(F.col("line__id")) & (F.col("line__of") == F.col("line__of2")), "left")
+    rest = docs.drop("line__count", "line__removed")
+    key, of, lost = (unused(f"line__{c}", rest) for c in ("id", "of", "gone"))
+    gone = gone.select(F.col("id").alias(key), F.col("of").alias(of), F.col("gone").alias(lost))
+    both = rest.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(of)), "left")
     parts = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("line__gone"))
-    text = F.when(F.col("line__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
     breaks = F.length(text_col) - F.length(F.translate(text_col, "\n", ""))
     return both.select(
-        *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns if c != "line__of"),
+        *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns),
         F.when(F.col(text_col).isNull(), 0).otherwise(breaks + 1).cast("bigint").alias("line__count"),
-        F.coalesce(F.size("line__gone"), F.lit(0)).cast("bigint").alias("line__removed"),
+        F.coalesce(F.size(lost), F.lit(0)).cast("bigint").alias("line__removed"),
     )
