@@ -118,7 +118,7 @@ def url_sql(depth: int = 8, support: int = 10) -> str:
 p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY 1),
-s0 AS (SELECT p.*, rule, verdict, CASE verdict WHEN 'allow' THEN 1 WHEN 'block' THEN 0 END AS good, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, CAST([] AS VARCHAR[]) AS tpl FROM p LEFT JOIN fit USING (page_id))"""
+s0 AS (SELECT p.*, rule, verdict, CASE verdict WHEN 'block' THEN 0 ELSE 1 END AS good, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, CAST([] AS VARCHAR[]) AS tpl FROM p LEFT JOIN fit USING (page_id))"""
     ]
     for k in range(1, depth + 1):
         steps.append(f"""l{k} AS (SELECT host, tpl, segs[{k}] AS seg FROM s{k - 1} WHERE len(segs) >= {k} GROUP BY 1, 2, 3 HAVING count(*) >= {support}),
@@ -130,8 +130,8 @@ m{depth + 1} AS (SELECT host, tpl, tpl AS c, CAST(count(good) AS DOUBLE) AS n, C
         steps.append(f"""g{k} AS (SELECT *, sum(n) OVER w AS nc, sum(bad) OVER w AS bc, CASE WHEN len(c) >= {k} THEN list_concat(list_append(c[1:{k - 1}], '*'), c[{k + 1}:]) ELSE c END AS par FROM m{k + 1} WINDOW w AS (PARTITION BY host, c)),
 h{k} AS (SELECT *, sum(bad) OVER w / nullif(sum(n) OVER w, 0) AS common, min(CASE WHEN nc > 0 THEN c END) OVER w <> max(CASE WHEN nc > 0 THEN c END) OVER w AS siblings FROM g{k} WINDOW w AS (PARTITION BY host, par)),
 m{k} AS (SELECT host, tpl, n, bad, CASE WHEN nc > 0 AND siblings AND abs(bc / nc - common) <= 1.96 * sqrt(common * (1 - common) / nc) THEN par ELSE c END AS c FROM h{k})""")
-    steps.append("""f AS (SELECT *, (sum(bad) OVER w + 10 * (SELECT coalesce(avg(1 - good), 0) FROM t)) / (sum(n) OVER w + 10) AS share, sum(n) OVER w AS n_f FROM m1 WINDOW w AS (PARTITION BY host, c))
-SELECT page_id, t.host, path, rule, coalesce(verdict, CASE WHEN n_f > 0 AND share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+    steps.append("""f AS (SELECT *, (sum(bad) OVER w + 10 * (SELECT coalesce(avg(1 - good), 0) FROM t)) / (sum(n) OVER w + 10) AS share, sum(n) OVER w AS n_f, sum(bad) OVER w AS bad_f FROM m1 WINDOW w AS (PARTITION BY host, c))
+SELECT page_id, t.host, path, rule, coalesce(verdict, CASE WHEN bad_f * 2 > n_f AND share - 1.96 * sqrt(share * (1 - share) / (n_f + 10)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
  CASE WHEN len(c) = 0 THEN '' ELSE '/' || array_to_string(c, '/') END || deep AS template, round(share, 9) AS bad_share
 FROM t JOIN f ON t.host = f.host AND t.tpl = f.tpl""")
     return "WITH " + ",\n".join(steps)

@@ -84,6 +84,7 @@ def judge_urls(
     merge_z: float = 1.96,
     prior_weight: float = 10.0,
     reject_above: float = 0.5,
+    reject_z: float = 1.96,
     id_col: str = "page_id",
     url_col: str = "url",
     label_id: str = "page_id",
@@ -94,13 +95,13 @@ def judge_urls(
     verdict is the longest fitting rule's (a rule fits its host and all subdomains if the path
     starts with the rule's), else the template tree's: urls are counted into templates per host
     (templates), statistically similar sibling branches merge on every level (merged), and a
-    template is blocked if it has labelled pages and their share of bad ones, smoothed by
-    prior_weight pages of the overall share, is above reject_above.
+    template is blocked if most of its labelled pages are bad and their share, smoothed by
+    prior_weight pages of the overall share, is above reject_above by reject_z standard errors: a template of a few
+    labelled pages, or one in which good and bad ones mix, is allowed.
 
-    labels gives some pages a 1 (good) or 0 (bad); the smallest of several counts. Without labels the
-    rules' own verdicts are the labels: pages that a rule allows are good, those that one blocks
-    bad, all others unlabelled. So the tree carries what the rules say about a part of a host to
-    urls of the same shape that no rule names.
+    labels gives some pages a 1 (good) or 0 (bad); the smallest of several counts; the others are unlabelled. Without labels the
+    rules label every page: what they block is bad, all else good. So the tree carries a block to urls of the same shape
+    only where the shape as a whole is blocked, and a branch that no rule names stays allowed however few pages it has.
 
     All is counted by aggregation and joined by salted joins, so a host or template with a third
     of all urls is spread over tasks. A null url, or one without "://", has host and path ''. A page without a label,
@@ -111,7 +112,7 @@ def judge_urls(
     own = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     ruled = longest_rule(rules)
     if labels is None:
-        own = own.withColumn("good", F.when(ruled["verdict"] == "allow", 1).when(ruled["verdict"] == "block", 0))
+        own = own.withColumn("good", F.when(ruled["verdict"] == "block", 0).otherwise(1))
     else:
         marks = labels.where(F.col(label_id).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.min(good_col).cast("int").alias("good"))
         own = own.join(marks, "id", "left")
@@ -121,8 +122,10 @@ def judge_urls(
     prior = whole["bad"] / whole["n"] if whole["n"] else 0.0
     sums = branches.groupBy("host", "final").agg(F.sum("n").alias("n_f"), F.sum("bad").alias("bad_f"))
     share = (F.col("bad_f") + prior_weight * prior) / (F.col("n_f") + prior_weight)
-    judged = salted_join(branches.select("host", "template", "final"), sums, ["host", "final"], "template").select("host", "template", "final", "n_f", share.alias("bad_share"))
+    judged = salted_join(branches.select("host", "template", "final"), sums, ["host", "final"], "template").select("host", "template", "final", "n_f", "bad_f", share.alias("bad_share"))
     out = salted_join(rows, judged, ["host", "template"], "id").withColumn("own", ruled)
-    verdict = F.coalesce("own.verdict", F.when((F.col("n_f") > 0) & (F.col("bad_share") > reject_above), "block").otherwise("allow"))
+    error = F.sqrt(F.col("bad_share") * (1 - F.col("bad_share")) / (F.col("n_f") + prior_weight))
+    reject = (F.col("bad_f") * 2 > F.col("n_f")) & (F.col("bad_share") - reject_z * error > reject_above)
+    verdict = F.coalesce("own.verdict", F.when(reject, "block").otherwise("allow"))
     name = F.concat_ws("", F.transform("final", lambda s: F.concat(F.lit("/"), s)))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), name.alias("template"), "bad_share")

@@ -16,21 +16,23 @@ def approximate(x: np.ndarray) -> bytes:
     """A block's file: each component's least value and cell width in the block, then one byte a component, its cell."""
     low = x.min(axis=0)
     width = np.floor((x.max(axis=0) - low) / CELLS) + 1
-    return low.astype("<f8").tobytes() + width.astype("<f8").tobytes() + np.floor((x - low) / width).astype(np.uint8).tobytes()
+    cell = np.minimum(np.floor((x - low) / width), CELLS - 1)  # beyond 2^53 the division can round up
+    return low.astype("<f8").tobytes() + width.astype("<f8").tobytes() + cell.astype(np.uint8).tobytes()
 
 
 def bounds(data: bytes, n: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower, upper) bounds of the inner products of queries with a file's n vectors.
 
     A component lies in [low + cell * width, low + cell * width + width - 1]. The cells' products
-    are in single precision, whose rounding, and that of the rest, widens the bounds.
+    are in single precision unless they would leave its range; its rounding, and that of the rest, widens the bounds.
     """
     dim = q.shape[1]
     low, width = np.frombuffer(data, "<f8", 2 * dim).reshape(2, dim)
     cells = np.frombuffer(data, np.uint8, n * dim, 16 * dim).reshape(n, dim)
     step, base = q * width, q @ low
-    centre = base[:, None] + (step.astype(np.float32) @ cells.T.astype(np.float32)).astype(np.float64)
-    slack = (dim + 8) * 2.0**-23 * np.abs(step).sum(axis=1) * CELLS + 1e-12 * np.abs(q) @ np.abs(low) + 1e-9
+    kind = np.float32 if np.abs(step).max(initial=0) * CELLS * dim < 1e37 else np.float64
+    centre = base[:, None] + (step.astype(kind) @ cells.T.astype(kind)).astype(np.float64)
+    slack = (dim + 8) * 2.0**-23 * np.abs(step).sum(axis=1) * CELLS + 1e-12 * np.abs(q) @ (np.abs(low) + CELLS * width) + 1e-9
     lower = centre + (np.minimum(q, 0) @ (width - 1) - slack)[:, None]
     return lower, centre + (np.maximum(q, 0) @ (width - 1) + slack)[:, None]
 
@@ -54,10 +56,9 @@ def candidates(data: DataFrame, asked: DataFrame, k: int, block_rows: int = 4096
     return kth(found, k, "lower", False).where(F.col("edge").isNull() | (F.col("upper") >= F.col("edge"))).drop("edge")
 
 
-def whole(rows: DataFrame, scale: float, dim: int) -> DataFrame:
-    """Components as whole numbers, held within 2^b so that no inner product leaves the 62 bits of a score."""
-    most = 1 << (62 - max(0, dim - 1).bit_length()) // 2
-    return rows.withColumn("vec", F.transform("vec", lambda x: F.greatest(F.least(F.floor(x * scale).cast("bigint"), F.lit(most)), F.lit(-most))))
+def whole(rows: DataFrame, scale: float) -> DataFrame:
+    """Components as whole numbers; one that no long holds is an error."""
+    return rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("bigint")))
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
@@ -72,19 +73,19 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float
 
     queries and vectors have the same columns; a vector is no candidate of a query with its own
     id. Vectors that are null, empty, of another length than most, or hold null or non-finite
-    components take no part on either side, nor do rows without an id. Components saturate at
-    2^b, with b = 28 at 64 components (x beyond a million at scale 256), where an inner product
-    could otherwise overflow. Repeated rows are candidates each for themselves and one query;
+    components take no part on either side, nor do rows without an id. Scores are summed as 38-digit decimals; a component or a
+    score that no long holds ends the job with an overflow error, nothing is cut. Repeated rows are candidates each for themselves and one query;
     rows of one id with different vectors are queries each for themselves. With fewer than k
     candidates all are returned. Only the two named columns are read; no queries or no vectors
     give no rows.
     """
     own, ask = valid(vectors, id_col, vec_col), valid(queries, id_col, vec_col)
     dim = common_length(own)
-    data, asked = distinct_rows(whole(own, scale, dim), dim), distinct_rows(whole(ask, scale, dim), dim)
+    data, asked = distinct_rows(whole(own, scale), dim), distinct_rows(whole(ask, scale), dim)
     near = kth(candidates(data, asked, k, block_rows), 2 * k, "upper", False)
     near = checkpoint(near.withColumn("first", F.col("edge").isNull() | (F.col("upper") >= F.col("edge"))).drop("edge"))
-    score = lambda pairs: read(pairs, data, asked, lambda a, b: a * b, F.lit(0).cast("bigint")).withColumnRenamed("sum", "score")
+    digits = lambda x: x.cast("decimal(38,0)")
+    score = lambda pairs: read(pairs, data, asked, lambda a, b: digits(a.cast("decimal(19,0)") * b.cast("decimal(19,0)")), digits(F.lit(0)), digits).withColumn("score", F.col("sum").cast("bigint")).drop("sum")
     one = checkpoint(score(near.where("first")))
     sure = kth(one, k, "score", False).groupBy(*QUERY).agg(F.max("edge").alias("edge"))
     two = score(near.where("NOT first").join(sure, QUERY).where(F.col("edge").isNull() | (F.col("upper") >= F.col("edge"))).drop("edge"))

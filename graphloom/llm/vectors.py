@@ -89,12 +89,12 @@ def kth(rows: DataFrame, k: int, value: str, ascending: bool) -> DataFrame:
     return placed.withColumn("edge", F.max(F.when(F.col("place") == k, F.col(value))).over(Window.partitionBy(*QUERY))).drop("place")
 
 
-def read(pairs: DataFrame, data: DataFrame, asked: DataFrame, term, start: Column) -> DataFrame:
-    """pairs with the vectors' `times` and `sum`, of term(q, v) over the components: the exact vectors by a join on (vec_id, h)."""
+def read(pairs: DataFrame, data: DataFrame, asked: DataFrame, term, start: Column, keep=lambda x: x) -> DataFrame:
+    """pairs with the vectors' `times` and `sum`, of term(q, v) over the components, each sum in the type that keep casts to: the exact vectors by a join on (vec_id, h)."""
     vectors = data.select(F.col("id").alias("vec_id"), "h", F.col("vec").alias("v"), "times")
     queries = asked.select(F.col("id").alias("query_id"), F.col("h").alias("qh"), F.col("vec").alias("q"))
     both = pairs.join(vectors, VECTOR).join(queries, QUERY)
-    return both.withColumn("sum", F.aggregate(F.zip_with("q", "v", term), start, lambda a, b: a + b)).drop("q", "v")
+    return both.withColumn("sum", F.aggregate(F.zip_with("q", "v", term), start, lambda a, b: keep(a + b))).drop("q", "v")
 
 
 def best(scored: DataFrame, k: int, ascending: bool) -> DataFrame:
