@@ -119,17 +119,32 @@ def detached_files(nodes: DataFrame, limit: int = 200) -> DataFrame:
     return own.orderBy("file", "label").limit(limit).crossJoin(total).select("id", "file", "total")
 
 
-def check_status(checks: DataFrame) -> DataFrame:
-    """(project, run, passed, failed, skipped, timed_out, clean, status) of project checks."""
+def check_status(projects: DataFrame, checks: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """(project, run, passed, failed, skipped, timed_out, diagnostics, complete, clean, status, message, warnings) of every project (project).
+
+    checks (project, success, skipped, timed_out), diagnostics (project), a row each. Skipped checks weren't run; one that timed out may have failed too. Checks are complete if
+    there are some and none was skipped, failed or timed out, and the project clean if there are no diagnostics either.
+    """
+    c = F.col
     sums = checks.groupBy("project").agg(
-        F.count("*").alias("run"),
-        F.count_if("success").alias("passed"),
-        F.count_if(~F.col("success") & ~F.col("skipped")).alias("failed"),
-        F.count_if("skipped").alias("skipped"),
-        F.count_if("timed_out").alias("timed_out"),
+        F.count("*").alias("n"), F.count_if(~c("skipped")).alias("run"), F.count_if("success").alias("passed"), F.count_if(~c("success") & ~c("skipped")).alias("failed"), F.count_if("skipped").alias("skipped"), F.count_if("timed_out").alias("timed_out")
     )
-    status = F.when(F.col("run") == 0, "Stale").when((F.col("failed") > 0) | (F.col("timed_out") > 0), "Error").when(F.col("skipped") > 0, "Fallback").otherwise("Ready")
-    return sums.withColumn("clean", (F.col("failed") == 0) & (F.col("skipped") == 0) & (F.col("timed_out") == 0)).withColumn("status", status)
+    found = diagnostics.groupBy("project").agg(F.count("*").alias("diagnostics"))
+    all_ = projects.select("project").distinct().join(sums, "project", "left").join(found, "project", "left").na.fill(0, ["n", "run", "passed", "failed", "skipped", "timed_out", "diagnostics"])
+    complete = (c("n") > 0) & (c("skipped") == 0) & (c("failed") == 0) & (c("timed_out") == 0)
+    clean = complete & (c("diagnostics") == 0)
+    status = F.when(c("n") == 0, "Stale").when((c("failed") > 0) | (c("timed_out") > 0), "Error").when(c("skipped") > 0, "Fallback").otherwise("Ready")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    n = lambda name: c(name).cast("string")
+    warnings = [
+        F.when(c("n") == 0, F.lit("Project checks have not been run; empty diagnostics do not prove the project is clean.")),
+        F.when(c("skipped") > 0, say(n("skipped"), " project check(s) were skipped; do not claim full project cleanliness.")),
+        F.when(c("timed_out") > 0, say(n("timed_out"), " project check(s) timed out; diagnostics may be incomplete.")),
+        F.when(c("failed") > 0, say(n("failed"), " project check(s) failed; inspect check results and diagnostics.")),
+    ]
+    counted = say(n("passed"), "/", n("n"), " check(s) passed, ", n("failed"), " failed, ", n("skipped"), " skipped, ", n("timed_out"), " timed out, ", n("diagnostics"), " diagnostic(s).")
+    message = F.when(clean, "All requested project checks passed and no diagnostics were reported.").when(c("n") == 0, "Checks not run.").otherwise(counted)
+    return all_.select("project", "run", "passed", "failed", "skipped", "timed_out", "diagnostics", complete.alias("complete"), clean.alias("clean"), status.alias("status"), message.alias("message"), F.array_compact(F.array(*warnings)).alias("warnings"))
 
 
 def diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:

@@ -91,7 +91,7 @@ def collapse(nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> tuple[Dat
     both = edges.join(own.select(F.col("id").alias("source"), F.col("owner").alias("s")), "source", "left").join(own.select(F.col("id").alias("target"), F.col("owner").alias("t")), "target", "left")
     new_s, new_t = F.coalesce("s", "source"), F.coalesce("t", "target")
     name = F.when(F.col("s").isNull() & F.col("t").isNull(), F.col("id")).otherwise(F.concat("type", F.lit(":"), new_s, F.lit("->"), new_t, F.lit(":"), "id"))
-    moved = both.where(new_s != new_t).select(name.alias("id"), new_s.alias("source"), new_t.alias("target"), "type", "confidence")
+    moved = both.where(new_s != new_t).select(name.alias("id"), new_s.alias("source"), new_t.alias("target"), "type", "confidence", *(c for c in ("seq", "label", "kind") if c in edges.columns))
     ids = left.select("id")
     return left, moved.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 

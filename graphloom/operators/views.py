@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import columns as C
 from graphloom.functions import names as N
 from graphloom.operators.modes import both_ends, bundle, edge_visibility
+from graphloom.operators.scan import numbered
 
 # Analyzers in the order in which they are listed, and engines that know meanings.
 ANALYZERS = "rust typescript python qml".split()
@@ -30,28 +31,49 @@ def client_filter(nodes: DataFrame, edges: DataFrame, languages: list[str], reac
     return keep, left.where(F.col("type").isin(edge_types)) if edge_types else left
 
 
-def visible_graph(nodes: DataFrame, edges: DataFrame, languages: list[str], reachability: list[str], level: str, groups: DataFrame, depth: int):
-    """(nodes, edges) as a view draws them: filters, collapsed groups, the hierarchy's depth, then parallel edges as one."""
-    from graphloom.operators.modes import degree
-    from graphloom.operators.traverse import collapse, hierarchy
+def visible_graph(nodes: DataFrame, edges: DataFrame, languages: list[str], reachability: list[str], level: str, groups: DataFrame, depth: int, lens=None):
+    """(nodes, edges) as a view draws them: the lens (nodes, edges -> both), collapsed groups' notes, filters, the groups collapsed, the hierarchy's depth, then parallel edges as one.
 
+    A collapsed group's connections are its hidden nodes, and its description says how many and the first three types of edges across its border. Edges keep their
+    order, label and kind of flow, so flows of different kinds stay apart.
+    """
+    from graphloom.operators.modes import degree
+    from graphloom.operators.traverse import collapse, group_links, hierarchy, owners
+
+    if lens:
+        nodes, edges = lens(nodes, edges)
+    own = owners(edges, groups.join(nodes, "id", "left_semi"))
+    types = F.slice(F.array_distinct(F.concat(F.coalesce("incoming", F.array().cast("array<string>")), F.coalesce("outgoing", F.array().cast("array<string>")))), 1, 3)
+    hidden = own.groupBy("owner").agg(F.count("*").alias("hidden")).join(group_links(edges, own), "owner", "left")
+    note = F.concat(F.lit("Collapsed: "), F.col("hidden").cast("string"), F.lit(" hidden"), F.when(F.size(types) > 0, F.concat(F.lit(" · "), F.array_join(types, ", "))).otherwise(""))
+    notes = hidden.select(F.col("owner").alias("id"), "hidden", note.alias("note"))
     keep, left = client_filter(nodes, edges, languages, reachability, level)
     keep, left = collapse(keep, left, groups)
     ids = hierarchy(degree(keep, left), left, depth).select("id")
-    order = left.withColumn("seq", F.xxhash64("id")).withColumn("label", F.lit(None).cast("string")).withColumn("kind", F.lit(None).cast("string"))
-    return keep.join(ids, "id", "left_semi"), bundle(both_ends(order, ids))
+    shown = degree(keep, left).join(ids, "id", "left_semi").join(notes, "id", "left").withColumn("connections", F.coalesce("hidden", "connections"))
+    return shown.withColumn("description", F.col("note")).drop("hidden", "note"), bundle(both_ends(left, ids))
 
 
 def symbols_of(nodes: DataFrame) -> DataFrame:
-    """(id, language, type, name, file, line, range) of the nodes that have a file and a range; language rust and the line after the range's start by default."""
+    """(id, language, type, label, name, file, line, character, range, selection_range) of the nodes that have a file and both ranges.
+
+    The name is the whole label; language is rust by default, the line the one after the selection's start.
+    """
     own = nodes.where("file IS NOT NULL AND range IS NOT NULL AND selection_range IS NOT NULL")
-    return own.select("id", F.coalesce("language", F.lit("rust")).alias("language"), "type", F.substring_index("label", "::", -1).alias("name"), "file", F.coalesce("line", F.col("range.start_line") + 1).alias("line"), "range")
+    start = F.col("selection_range.start_line")
+    return own.select("id", F.coalesce("language", F.lit("rust")).alias("language"), "type", "label", F.col("label").alias("name"), "file", F.coalesce("line", start + 1).alias("line"), F.col("selection_range.start_char").alias("character"), "range", "selection_range")
 
 
 def timeline(events: DataFrame, diagnostics: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(id, kind, ts): events (id, kind, ts) and the errors and warnings, of the ticked kinds."""
-    marks = diagnostics.where("severity IN ('Error', 'Warning')").select("id", F.lower("severity").alias("kind"), "ts")
-    both = events.select("id", "kind", "ts").unionByName(marks)
+    """(id, kind, file, message, at): events (the same columns) and the errors and warnings among diagnostics, of the ticked kinds.
+
+    A diagnostic's message ends with its place, counted from 1, where it has one; its time is what its source is called, else `diagnostic`.
+    """
+    place = F.concat(F.lit(" · L"), F.col("line") + 1, F.lit(":"), F.coalesce("char", F.lit(0)) + 1)
+    marks = diagnostics.where("severity IN ('Error', 'Warning')").select(
+        F.concat(F.lit("diagnostic-event:"), "id").alias("id"), F.lower("severity").alias("kind"), "file", F.concat("message", F.coalesce(place, F.lit(""))).alias("message"), F.coalesce("source", F.lit("diagnostic")).alias("at")
+    )
+    both = events.select("id", "kind", "file", "message", "at").unionByName(marks)
     return both.where(F.col("kind").isin(kinds)) if kinds else both
 
 
@@ -70,15 +92,17 @@ def sorted_analyzers(analyzers: DataFrame) -> DataFrame:
 
 
 def analyzer_summary(analyzers: DataFrame) -> DataFrame:
-    """One row: how many analyzers are ready, starting, in error or on their fallback, and a label that says so."""
-    n = {s: F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Ready", "Starting", "Error", "Fallback")}
-    row = analyzers.agg(F.count("*").alias("n"), *n.values())
-    return row.withColumn("label", F.when(F.col("n") == 0, "No analyzers").when(F.col("error") > 0, N.counted(F.col("error"), "analyzer error")).otherwise(F.concat("ready", F.lit("/"), "n", F.lit(" ready"))))
+    """One row over the analyzers that have files: how many are in each state (starting counts as indexing), total, and a label that names the states in use."""
+    states = {"error": ["Error"], "indexing": ["Starting", "Indexing"], "ready": ["Ready"], "fallback": ["Fallback"], "stale": ["Stale"]}
+    row = analyzers.where("files > 0").agg(F.count("*").alias("total"), *(F.count_if(F.col("status").isin(s)).alias(n) for n, s in states.items()))
+    parts = F.concat_ws(" · ", *(F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {n}"))) for n in states))
+    return row.withColumn("label", F.concat(F.lit("Analyzers · "), F.coalesce(F.nullif(parts, F.lit("")), F.lit("none"))))
 
 
 def weighted_degree(nodes: DataFrame, bundles: DataFrame) -> DataFrame:
-    """(id, weight): the edges at each node of a view, a bundle counting all its edges; ends that aren't in the view count for nothing."""
-    ends = bundles.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id"), F.coalesce("bundled", F.lit(1)).alias("n"))
+    """(id, weight): the edges at each node of a view, a bundle counting all its edges and one from a node to itself twice; ends that aren't in the view count for nothing."""
+    n = F.coalesce("bundled", F.lit(1)).alias("n")
+    ends = bundles.select(F.col("source").alias("id"), n).union(bundles.select("target", n))
     return nodes.select("id").join(ends.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("weight"))
 
 
@@ -96,10 +120,11 @@ def bounded(nodes: DataFrame, edges: DataFrame, most_nodes: int = 500, most_edge
     return few, some, row.withColumn("truncated", (F.col("nodes") > most_nodes) | (F.col("edges") > most_edges))
 
 
-def related(edges: DataFrame, most: int = 8) -> DataFrame:
-    """(id, place, other): for every node the sources of its incoming edges, then the targets of its outgoing ones, in order, duplicates and all."""
+def related(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """(id, place, other): for every node the sources of its incoming edges, then the targets of its outgoing ones, in order, duplicates and all, as far as they are nodes."""
     both = edges.select(F.col("target").alias("id"), F.lit(0).alias("way"), "seq", F.col("source").alias("other"), F.col("id").alias("edge")).union(edges.select("source", F.lit(1), "seq", "target", "id"))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("way", "seq", "edge"))).where(F.col("place") <= most).select("id", "place", "other")
+    known = both.join(nodes.select(F.col("id").alias("other")), "other", "left_semi").join(nodes.select("id"), "id", "left_semi")
+    return known.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("way", "seq", "edge"))).where(F.col("place") <= most).select("id", "place", "other")
 
 
 def palette(nodes: DataFrame, query: str) -> DataFrame:
@@ -167,13 +192,23 @@ def needs_refresh(patches: DataFrame) -> DataFrame:
 
 
 def traced(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
-    """steps (trace, step_no, kind, ref) with title, file, line and confidence: a node by its label, an edge by its ends' labels, unknown for ends without a node."""
-    at = nodes.select(F.col("id").alias("ref"), F.col("label").alias("n_label"), F.col("file").alias("n_file"), F.col("line").alias("n_line"))
-    ends = edges.select(F.col("id").alias("ref"), "source", "target", "confidence").dropDuplicates(["ref"])
-    label = lambda side: nodes.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"), F.col("file").alias(f"{side}_file"), F.col("line").alias(f"{side}_line"))
-    both = steps.join(at, "ref", "left").join(ends, "ref", "left").join(label("source").drop("source_file", "source_line"), "source", "left").join(label("target"), "target", "left")
-    edge = F.concat(F.coalesce("source_label", F.lit("unknown")), F.lit(" -> "), F.coalesce("target_label", F.lit("unknown")))
-    return both.select("trace", "step_no", "kind", "ref", F.concat("kind", F.lit(": "), F.coalesce("n_label", edge)).alias("title"), F.coalesce("n_file", "target_file").alias("file"), F.coalesce("n_line", "target_line").alias("line"), "confidence")
+    """steps (trace, step_no, kind, ref, word) as a trace shows them: title, description, language, file, line, confidence, evidence and state.
+
+    A node's title is the word of its place in the trace and its label, its evidence its signature; an edge's is the word and its ends' labels, unknown for ends without
+    a node, its description its label, else its type, the rest its target's.
+    """
+    c = F.col
+    own = nodes.select(c("id").alias("ref"), F.struct("label", "language", "file", "line", "signature", "reachability").alias("n"))
+    ends = edges.groupBy(c("id").alias("ref")).agg(F.min_by(F.struct("source", "target", "type", "label", "confidence", "evidence"), "seq").alias("e")).select("ref", "e", c("e.source").alias("source"), c("e.target").alias("target"))
+    end = lambda side: nodes.select(c("id").alias(side), F.struct("label", "language", "file", "line", "reachability").alias(side[0]))
+    both = steps.join(own, "ref", "left").join(ends, "ref", "left").join(end("source"), "source", "left").join(end("target"), "target", "left")
+    node = c("n").isNotNull()
+    edge = F.concat(F.coalesce("s.label", F.lit("unknown")), F.lit(" -> "), F.coalesce("t.label", F.lit("unknown")))
+    pick = lambda name: F.when(node, c(f"n.{name}")).otherwise(c(f"t.{name}")).alias(name)
+    return both.select(
+        "trace", "step_no", "kind", "ref", F.concat("word", F.lit(": "), F.when(node, c("n.label")).otherwise(edge)).alias("title"), F.when(~node, F.coalesce("e.label", "e.type")).alias("description"),
+        *map(pick, ("language", "file", "line")), c("e.confidence").alias("confidence"), F.when(node, c("n.signature")).otherwise(c("e.evidence")).alias("evidence"), pick("reachability"),
+    )
 
 
 def trace_warnings(nodes: DataFrame, ambiguous: DataFrame) -> DataFrame:
@@ -232,7 +267,7 @@ def check_messages(lines: DataFrame) -> DataFrame:
     span = "struct<file_name:string,line_start:int,column_start:int,line_end:int,column_end:int,is_primary:boolean>"
     kind = f"reason string, message struct<message:string,level:string,code:struct<code:string>,spans:array<{span}>>"
     read = lines.withColumn("j", F.from_json("value", kind)).where("j.reason = 'compiler-message' AND j.message IS NOT NULL")
-    read = read.withColumn("index", F.row_number().over(Window.orderBy("line_no")) - 1)  # one run's output
+    read = numbered(read, ["line_no"], "index")
     best = F.coalesce(F.get(F.filter("j.message.spans", lambda s: s["is_primary"]), F.lit(0)), F.get("j.message.spans", F.lit(0)))
     own = read.withColumn("s", best).where("s IS NOT NULL")
     zero = lambda c: F.greatest(F.col(f"s.{c}") - 1, F.lit(0))

@@ -263,12 +263,28 @@ graph_query(
         diagnostic_ranges(g).select("probe", "file", F.col("start_line").alias("line"), F.col("start_char").alias("char")), symbol_ranges(g), g.nodes.where("type = 'File'").select("file", F.col("id").alias("file_id"))
     ).select(F.col("probe").alias("id"), F.col("id").alias("node_id")),
 )
-graph_query(
-    "check_status",
-    """, c AS (SELECT project, count(*) AS run, count(*) FILTER (WHERE success) AS passed, count(*) FILTER (WHERE NOT success AND NOT skipped) AS failed, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE timed_out) AS timed_out FROM checks GROUP BY project)
-SELECT *, failed = 0 AND skipped = 0 AND timed_out = 0 AS clean, CASE WHEN failed > 0 OR timed_out > 0 THEN 'Error' WHEN skipped > 0 THEN 'Fallback' ELSE 'Ready' END AS status FROM c""",
-    lambda g: K.check_status(g.checks),
-)
+# Half of the customers' debts are diagnostics of their nation's project, so some projects have none, and some nations have no checks.
+PROJECTS = "SELECT n_nationkey AS project FROM {nation}"
+OPEN = "SELECT c_nationkey AS project FROM {customer} WHERE c_acctbal < -980"
+
+
+def project_checks(spark, sf_dir):
+    read = lambda sql, name: spark.sql(sql, **{name: table(spark, sf_dir, name)})
+    checks = load(spark, sf_dir).checks.where("project % 4 <> 3")
+    return K.check_status(read(PROJECTS, "nation"), checks, read(OPEN, "customer"))
+
+
+QUERIES["check_status"] = project_checks
+ORACLE_SQL["check_status"] = duckdb_ctes() + f""", c AS (SELECT project, count(*) AS n, count(*) FILTER (WHERE NOT skipped) AS run, count(*) FILTER (WHERE success) AS passed, count(*) FILTER (WHERE NOT success AND NOT skipped) AS failed, count(*) FILTER (WHERE skipped) AS skipped,
+ count(*) FILTER (WHERE timed_out) AS timed_out FROM checks WHERE project % 4 <> 3 GROUP BY project), d AS (SELECT project, count(*) AS k FROM ({OPEN.format(customer="customer")}) GROUP BY 1),
+j AS (SELECT p.project, coalesce(n, 0) AS n, coalesce(run, 0) AS run, coalesce(passed, 0) AS passed, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped, coalesce(timed_out, 0) AS timed_out, coalesce(k, 0) AS diagnostics
+ FROM ({PROJECTS.format(nation="nation")}) p LEFT JOIN c ON p.project = c.project LEFT JOIN d ON p.project = d.project),
+s AS (SELECT *, n > 0 AND skipped + failed + timed_out = 0 AS complete FROM j)
+SELECT * EXCLUDE (n), complete AND diagnostics = 0 AS clean, CASE WHEN n = 0 THEN 'Stale' WHEN failed + timed_out > 0 THEN 'Error' WHEN skipped > 0 THEN 'Fallback' ELSE 'Ready' END AS status,
+ CASE WHEN complete AND diagnostics = 0 THEN 'All requested project checks passed and no diagnostics were reported.' WHEN n = 0 THEN 'Checks not run.'
+ ELSE format('{{}}/{{}} check(s) passed, {{}} failed, {{}} skipped, {{}} timed out, {{}} diagnostic(s).', passed, n, failed, skipped, timed_out, diagnostics) END AS message,
+ list_filter([CASE WHEN n = 0 THEN 'Project checks have not been run; empty diagnostics do not prove the project is clean.' END, CASE WHEN skipped > 0 THEN format('{{}} project check(s) were skipped; do not claim full project cleanliness.', skipped) END,
+ CASE WHEN timed_out > 0 THEN format('{{}} project check(s) timed out; diagnostics may be incomplete.', timed_out) END, CASE WHEN failed > 0 THEN format('{{}} project check(s) failed; inspect check results and diagnostics.', failed) END], lambda x: x IS NOT NULL) AS warnings FROM s"""
 
 # A later snapshot: every seventh symbol is gone, every fifth has another label, and parts are copied.
 NEW = "SELECT seq, id, CASE WHEN seq % 5 = 0 THEN concat(label, '!') ELSE label END AS label, type, file FROM nodes WHERE NOT (type IN ('Function', 'Hook') AND seq % 7 = 0) UNION ALL SELECT seq + 10, concat(id, ':new'), label, type, file FROM nodes WHERE type = 'Trait'"
@@ -357,7 +373,7 @@ graph_query(
 st AS (SELECT id AS trace, 0 AS stage, 0 AS orank, '' AS oid, 0 AS inn, 0 AS r, id AS ref, CASE WHEN reachability = 'Detached' THEN 'DetachedSource' WHEN reachability = 'External' OR type = 'ExternalCrate' THEN 'ExternalDependency' ELSE 'Unknown' END AS kind FROM ro
 UNION ALL SELECT ro.id, 1, 0, '', 0, r, lk.id, sk FROM ro JOIN lk ON ro.id = lk.source WHERE tk
 UNION ALL SELECT ro.id, 1, 0, '', 0, r, lk.id, sk FROM ro JOIN lk ON ro.id = lk.target AND lk.source <> lk.target WHERE so)""" + NUMBERED,
-    lambda g: X.node_traces(g.nodes, g.edges),
+    lambda g: X.node_traces(g.nodes, g.edges).drop("word"),
 )
 graph_query(
     "trace_route",
@@ -372,7 +388,7 @@ UNION ALL SELECT source, 4, r, id, 0, 0, id, 'EndpointHandler' FROM hd WHERE tk
 UNION ALL SELECT source, 4, r, id, 1, 0, target, 'BackendHandler' FROM hd WHERE tn AND (tk OR target = source)
 UNION ALL SELECT hd.source, 4, hd.r, hd.id, 2, c.r, c.id, 'ServiceCall' FROM hd JOIN rk c ON c.source = hd.target AND c.type = 'Calls' WHERE hd.tn AND (c.so OR c.source = hd.source) AND (c.tk OR c.target = hd.source)
 UNION ALL SELECT hd.source, 4, hd.r, hd.id, 3, c.r, c.id, c.sk FROM hd JOIN rs c ON c.source = hd.target OR c.target = hd.target OR c.target = hd.source WHERE hd.tn AND (c.so OR c.source = hd.source) AND (c.tk OR c.target = hd.source))""" + NUMBERED,
-    lambda g: X.route_traces(g.nodes, g.edges),
+    lambda g: X.route_traces(g.nodes, g.edges).drop("word"),
 )
 SEEDS = """, ac AS (SELECT * FROM edges WHERE type = 'ApiCall' AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
 en AS (SELECT * FROM nodes WHERE id IN (SELECT source FROM ac UNION SELECT target FROM ac)),

@@ -9,6 +9,7 @@ from graphloom.functions import names as N
 from graphloom.functions.session import table
 from graphloom.operators import catalog as K
 from graphloom.operators import resolve as R
+from graphloom.operators.modes import bundle
 from graphloom.operators import traces as X
 from graphloom.operators import traverse as T
 from graphloom.operators import views as V
@@ -184,22 +185,31 @@ graph_query(
     f", kp AS (SELECT id, type FROM nodes WHERE type IN ('File', 'Function', 'Endpoint') AND reachability = 'Active') SELECT 'node' AS part, id, type FROM kp UNION ALL SELECT 'edge', id, type FROM edges WHERE type IN ('Contains', 'Calls') AND source IN (SELECT id FROM kp) AND target IN (SELECT id FROM kp)",
     lambda g: both(*V.client_filter(*(lambda s: (s.nodes, s.edges))(settled(g)), [*N.CLIENT_LANGUAGES], ["Active"], "all", ["File", "Function", "Endpoint"], ["Contains", "Calls"])),
 )
+RANGED = "CASE WHEN end_line IS NULL THEN NULL ELSE named_struct('start_line', line - 1, 'start_char', CAST(seq % 8 AS INT), 'end_line', end_line, 'end_char', 4) END"
 graph_query(
     "symbol_records",
-    " SELECT id, language, type, label AS name, file, line FROM nodes WHERE file IS NOT NULL AND end_line IS NOT NULL AND type = 'Function' AND line BETWEEN 10 AND 40",
-    lambda g: V.symbols_of(g.nodes.withColumn("range", F.when(F.col("end_line").isNotNull(), F.struct(F.col("line").alias("start_line")))).withColumn("selection_range", F.col("range"))).where("type = 'Function' AND line BETWEEN 10 AND 40").drop("range"),
+    """ SELECT id, coalesce(nullif(language, 'rust'), 'rust') AS language, type, CASE type WHEN 'Method' THEN concat('Shop::', label) ELSE label END AS name, file, line, CAST(seq % 8 AS INT) AS character FROM nodes WHERE file IS NOT NULL AND end_line IS NOT NULL""",
+    lambda g: V.symbols_of(g.nodes.selectExpr("id", "seq", "nullif(language, 'rust') AS language", "type", "CASE type WHEN 'Method' THEN concat('Shop::', label) ELSE label END AS label", "file", "CASE WHEN seq % 3 > 0 THEN line END AS line", f"{RANGED} AS range", f"{RANGED} AS selection_range")).drop("label", "range", "selection_range"),
 )
 
 
+
+TIMED = "SELECT id, severity, file, message, CASE WHEN seq % 5 > 0 THEN line END AS line, CASE WHEN seq % 3 > 0 THEN CAST(seq % 50 AS INT) END AS char, CASE WHEN seq % 2 = 0 THEN language END AS source FROM {d}"
+
+
 def event_timeline(spark, sf_dir):
     from graphloom.plans.driver_graph import load
 
-    events = table(spark, sf_dir, "events").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("kind"), "ts")
-    return V.timeline(events, load(spark, sf_dir).diagnostics, ["error", "warning", "click"])
+    events = table(spark, sf_dir, "events").selectExpr("concat('event:', event_id) AS id", "event_type AS kind", "CAST(NULL AS STRING) AS file", "props AS message", "CAST(value AS STRING) AS at").withColumn("at", F.lit("now"))
+    return V.timeline(events, spark.sql(TIMED, d=load(spark, sf_dir).diagnostics), ["error", "warning", "click"])
 
 
 QUERIES["timeline"] = event_timeline
-graph_query("timeline_", " SELECT concat('event:', CAST(event_id AS VARCHAR)) AS id, event_type AS kind, ts FROM events WHERE event_type IN ('error', 'warning', 'click') UNION ALL SELECT id, lower(severity), ts FROM diagnostics WHERE severity IN ('Error', 'Warning')", None)
+graph_query(
+    "timeline_",
+    f", t AS ({TIMED.format(d='diagnostics')}) SELECT concat('event:', event_id) AS id, event_type AS kind, NULL AS file, props AS message, 'now' AS at FROM events WHERE event_type IN ('error', 'warning', 'click') UNION ALL SELECT concat('diagnostic-event:', id), lower(severity), file, CASE WHEN line IS NULL THEN message ELSE concat(message, ' · L', line + 1, ':', coalesce(char, 0) + 1) END, coalesce(source, 'diagnostic') FROM t WHERE severity IN ('Error', 'Warning')",
+    None,
+)
 ORACLE_SQL["timeline"] = ORACLE_SQL.pop("timeline_")
 QUERIES.pop("timeline_")
 
@@ -221,18 +231,22 @@ graph_query(
     f" SELECT *, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'rust' THEN 1 WHEN 'typescript' THEN 2 WHEN 'python' THEN 3 ELSE 4 END, engine <> 'rust-analyzer', label) AS INT) AS place FROM ({ENGINES})",
     lambda g: V.sorted_analyzers(engine_rows(g)),
 )
+# The states of engines as a client is told them; those of one segment have no files.
+STATES = "CASE WHEN label = 'building' THEN 'Ready' WHEN kind = 'rust' THEN 'Indexing' WHEN kind = 'python' THEN 'Starting' WHEN kind = 'qml' THEN 'Error' WHEN label = 'automobile' THEN 'Stale' ELSE 'Fallback' END"
 graph_query(
     "analyzer_summary",
-    f""" SELECT count(*) AS n, count(*) FILTER (WHERE status = 'Ready') AS ready, count(*) FILTER (WHERE status = 'Starting') AS starting, count(*) FILTER (WHERE status = 'Error') AS error, count(*) FILTER (WHERE status = 'Fallback') AS fallback,
- CASE WHEN count(*) FILTER (WHERE status = 'Error') > 0 THEN concat(count(*) FILTER (WHERE status = 'Error'), ' analyzer error', CASE WHEN count(*) FILTER (WHERE status = 'Error') = 1 THEN '' ELSE 's' END) ELSE concat(count(*) FILTER (WHERE status = 'Ready'), '/', count(*), ' ready') END AS label
- FROM (SELECT CASE kind WHEN 'rust' THEN 'Ready' WHEN 'python' THEN 'Starting' WHEN 'qml' THEN 'Error' ELSE 'Fallback' END AS status FROM ({ENGINES}))""",
-    lambda g: V.analyzer_summary(engine_rows(g).withColumn("status", N.analyzer_status(F.expr("CASE kind WHEN 'rust' THEN 'Server READY' WHEN 'python' THEN 'restarting' WHEN 'qml' THEN 'an Error' ELSE 'Parser only' END")))),
+    f""", a AS (SELECT {STATES} AS status FROM ({ENGINES}) WHERE label <> 'household'), n AS (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'Error') AS error, count(*) FILTER (WHERE status IN ('Starting', 'Indexing')) AS indexing, count(*) FILTER (WHERE status = 'Ready') AS ready,
+ count(*) FILTER (WHERE status = 'Fallback') AS fallback, count(*) FILTER (WHERE status = 'Stale') AS stale FROM a)
+ SELECT *, concat('Analyzers · ', coalesce(nullif(concat_ws(' · ', CASE WHEN error > 0 THEN concat(error, ' error') END, CASE WHEN indexing > 0 THEN concat(indexing, ' indexing') END, CASE WHEN ready > 0 THEN concat(ready, ' ready') END, CASE WHEN fallback > 0 THEN concat(fallback, ' fallback') END, CASE WHEN stale > 0 THEN concat(stale, ' stale') END), ''), 'none')) AS label FROM n""",
+    lambda g: V.analyzer_summary(engine_rows(g).withColumn("status", F.expr(STATES)).withColumn("files", F.when(F.col("label") != "household", F.col("files")).otherwise(0))),
 )
+# Every ninth symbol calls itself.
+SELF = "SELECT seq, concat('Calls:', id, '->', id) AS id, id AS source, id AS target, 'Calls' AS type, 'Exact' AS confidence, CAST(NULL AS STRING) AS label, CAST(NULL AS STRING) AS evidence, CAST(NULL AS STRING) AS kind FROM {nodes} WHERE seq % 9 = 0"
 graph_query(
     "weighted_degree",
-    LIFTED + """, bn AS (SELECT source, target, count(*) AS n FROM up GROUP BY source, target, type, CASE WHEN type = 'DataFlow' THEN concat(coalesce(kind, 'Unknown'), ':', coalesce(label, '')) END), en AS (SELECT source AS id, n FROM bn UNION ALL SELECT target, n FROM bn WHERE source <> target)
+    f""", al AS (SELECT * FROM edges UNION ALL {SELF.format(nodes="nodes")}), bn AS (SELECT source, target, count(*) AS n FROM al GROUP BY source, target, type, CASE WHEN type = 'DataFlow' THEN concat(coalesce(kind, 'Unknown'), ':', coalesce(label, '')) END), en AS (SELECT source AS id, n FROM bn UNION ALL SELECT target, n FROM bn)
 SELECT nodes.id, CAST(coalesce(sum(n), 0) AS BIGINT) AS weight FROM nodes LEFT JOIN en ON nodes.id = en.id GROUP BY nodes.id""",
-    lambda g: V.weighted_degree(g.nodes, __import__("graphloom.operators.modes", fromlist=["bundle"]).bundle(lifted(g))),
+    lambda g: V.weighted_degree(g.nodes, bundle(g.edges.unionByName(g.nodes.sparkSession.sql(SELF, nodes=g.nodes)))),
 )
 graph_query("label_counts", " SELECT crate, label, count(*) AS n FROM nodes GROUP BY ALL", lambda g: g.nodes.groupBy("crate", "label").agg(F.count("*").alias("n")))
 graph_query(
@@ -247,8 +261,8 @@ graph_query(
 )
 graph_query(
     "related_list",
-    ", bt AS (SELECT target AS id, 0 AS way, seq, source AS other, id AS edge FROM edges UNION ALL SELECT source, 1, seq, target, id FROM edges) SELECT id, CAST(p AS INT) AS place, other FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way, seq, edge) AS p FROM bt) WHERE p <= 8",
-    lambda g: V.related(g.edges),
+    ", kn AS (SELECT id FROM nodes WHERE seq % 7 <> 0), bt AS (SELECT target AS id, 0 AS way, seq, source AS other, id AS edge FROM edges UNION ALL SELECT source, 1, seq, target, id FROM edges) SELECT id, CAST(p AS INT) AS place, other FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way, seq, edge) AS p FROM bt WHERE other IN (SELECT id FROM kn) AND id IN (SELECT id FROM kn)) WHERE p <= 8",
+    lambda g: V.related(g.nodes.where("seq % 7 <> 0"), g.edges),
 )
 graph_query("palette_hits", " SELECT id FROM nodes WHERE contains(lower(concat_ws(chr(10), label, file, module)), 'furniture/customer#00000001') ORDER BY seq LIMIT 10", lambda g: V.palette(g.nodes, " Furniture/Customer#00000001"))
 graph_query("palette_start", " SELECT id FROM nodes WHERE type IN ('Module', 'Trait') ORDER BY seq LIMIT 8", lambda g: V.palette(g.nodes.withColumn("bookmarked", F.lit(None).cast("boolean")), ""))
@@ -306,8 +320,10 @@ UNION ALL SELECT ro.id, 1, 0, '', 0, r, lk.id, sk FROM ro JOIN lk ON ro.id = lk.
 UNION ALL SELECT ro.id, 1, 0, '', 0, r, lk.id, sk FROM ro JOIN lk ON ro.id = lk.target AND lk.source <> lk.target WHERE so)""" + NUMBERED.replace("SELECT trace, CAST(p", ", tr AS (SELECT trace, CAST(p", 1) + ")"
 graph_query(
     "trace_titles",
-    TRACE_SQL + """, oe AS (SELECT id, any_value(source) AS source, any_value(target) AS target, any_value(confidence) AS confidence FROM edges GROUP BY id) SELECT trace, step_no, kind, ref, concat(kind, ': ', coalesce(n.label, concat(coalesce(s.label, 'unknown'), ' -> ', coalesce(t.label, 'unknown')))) AS title, coalesce(n.file, t.file) AS file, coalesce(n.line, t.line) AS line, e.confidence
- FROM tr LEFT JOIN nodes n ON n.id = ref LEFT JOIN oe e ON e.id = ref LEFT JOIN nodes s ON s.id = e.source LEFT JOIN nodes t ON t.id = e.target""",
+    TRACE_SQL + """, oe AS (SELECT id, min_by({'source': source, 'target': target, 'type': type, 'label': label, 'confidence': confidence, 'evidence': evidence}, seq) AS e FROM edges GROUP BY id)
+ SELECT trace, step_no, tr.kind, ref, CASE WHEN n.id IS NOT NULL THEN concat('Selected node: ', n.label) ELSE concat('Neighborhood edge: ', coalesce(s.label, 'unknown'), ' -> ', coalesce(t.label, 'unknown')) END AS title, coalesce(e.label, e.type) AS description, CASE WHEN n.id IS NULL THEN t.language ELSE n.language END AS language,
+ CASE WHEN n.id IS NULL THEN t.file ELSE n.file END AS file, CASE WHEN n.id IS NULL THEN t.line ELSE n.line END AS line, e.confidence AS confidence, CASE WHEN n.id IS NULL THEN e.evidence ELSE n.signature END AS evidence, CASE WHEN n.id IS NULL THEN t.reachability ELSE n.reachability END AS reachability
+ FROM tr LEFT JOIN nodes n ON n.id = ref LEFT JOIN oe ON oe.id = ref LEFT JOIN nodes s ON s.id = e.source LEFT JOIN nodes t ON t.id = e.target""",
     lambda g: (lambda s: V.traced(s.nodes, s.edges, X.node_traces(s.nodes, s.edges)))(settled(g)),
 )
 graph_query(
