@@ -13,7 +13,7 @@ from graphloom.operators.scan import numbered
 from graphloom.operators.symbol_index import SymbolIndex
 from graphloom.plans.catalogue import ORACLE_SQL, QUERIES, graph_query
 from graphloom.plans.catalogue_views import RANGED
-from graphloom.plans.driver_graph import load
+from graphloom.plans.driver_graph import TERA, load
 
 # A workspace for every region, packages of its nations below crates or tools, one of them excluded, and a source file for every second customer.
 HOME = "concat('w', CAST(n_regionkey AS STRING), CASE WHEN n_nationkey % 3 = 0 THEN '/tools/t' ELSE '/crates/n' END, CAST(n_nationkey AS STRING))"
@@ -49,8 +49,8 @@ def lookups(g):
     spark = g.nodes.sparkSession
     rows = g.nodes.selectExpr("id", "seq", "language", "type", "label", "file", "line", f"{RANGED} AS range", f"{RANGED} AS selection_range")
     index = SymbolIndex(f"{shared_folder(spark)}/symbols-{uuid.uuid4().hex}").write(V.symbols_of(rows).withColumn("kind", F.col("type")))
-    file = "src/building/Customer#000000005.tsx"
-    found = {"id": index.by_id(spark, "sym:7"), "name": index.by_name(spark, "fn_7"), "file": index.by_file(spark, file), "language": index.by_language(spark, "qml"), "kind": index.by_kind(spark, "Hook"), "range": index.by_range(spark, file, 60, 2)}
+    file = g.nodes.where(F.col("seq") == 3 * TERA + 5).first()["file"]
+    found = {"id": index.by_id(spark, "sym:7"), "name": index.by_name(spark, "fn_7"), "file": index.by_file(spark, file), "language": index.by_language(spark, "qml"), "kind": index.by_kind(spark, "Hook"), "range": index.by_range(spark, file, 95, 2)}
     out = None
     for name, df in found.items():
         one = df.select(F.lit(name).alias("look"), "id")
@@ -60,9 +60,9 @@ def lookups(g):
 
 graph_query(
     "symbol_lookups",
-    """, s AS (SELECT *, line - 1 AS a, CAST(seq % 8 AS INT) AS ac, 4 AS bc FROM nodes WHERE file IS NOT NULL AND end_line IS NOT NULL), f AS (SELECT * FROM s WHERE file = 'src/building/Customer#000000005.tsx')
+    """, s AS (SELECT *, line - 1 AS a, CAST(seq % 8 AS INT) AS ac, 4 AS bc FROM nodes WHERE file IS NOT NULL AND end_line IS NOT NULL), f AS (SELECT * FROM s WHERE file = (SELECT file FROM nodes WHERE seq = {at}))
  SELECT 'id' AS look, id FROM s WHERE id = 'sym:7' UNION ALL SELECT 'name', id FROM s WHERE label = 'fn_7' UNION ALL SELECT 'file', id FROM f UNION ALL SELECT 'language', id FROM s WHERE language = 'qml' UNION ALL SELECT 'kind', id FROM s WHERE type = 'Hook'
- UNION ALL SELECT 'range', id FROM f WHERE (a < 60 OR a = 60 AND ac <= 2) AND (end_line > 60 OR end_line = 60 AND bc >= 2)""",
+ UNION ALL SELECT 'range', id FROM f WHERE (a < 95 OR a = 95 AND ac <= 2) AND (end_line > 95 OR end_line = 95 AND bc >= 2)""".replace("{at}", str(3 * TERA + 5)),
     lookups,
 )
 
