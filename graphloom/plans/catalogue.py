@@ -46,7 +46,7 @@ full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS connections FROM nodes LEFT JOI
 def mode_sql(mode: str) -> str:
     more = "OR (type IN ('Function', 'Method', 'Handler') AND (visibility IN ('pub', 'pub(crate)') OR signature IS NOT NULL OR connections >= 2))" if mode == "meso" else ""
     out = DEGREE + f""", n0 AS MATERIALIZED (SELECT * FROM full_nodes WHERE (type IN ({quoted(M.TYPES[mode])}) {more}) AND reachability IS DISTINCT FROM 'Detached'),
-ends AS MATERIALIZED (SELECT * FROM edges WHERE source IN (SELECT id FROM n0) AND target IN (SELECT id FROM n0)),
+ends AS MATERIALIZED (SELECT e.* FROM edges e SEMI JOIN n0 s ON e.source = s.id SEMI JOIN n0 t ON e.target = t.id),
 e0 AS (SELECT * FROM ends WHERE type IN ({quoted(M.EDGE_TYPES[mode])}))"""
     if mode == "callflow":
         out += ", e1 AS (SELECT * FROM e0 UNION ALL SELECT * FROM ends WHERE type = 'Contains' AND NOT EXISTS (SELECT 1 FROM e0))"
@@ -54,8 +54,9 @@ e0 AS (SELECT * FROM ends WHERE type IN ({quoted(M.EDGE_TYPES[mode])}))"""
         out += ", e1 AS (SELECT * FROM e0)"
     if mode in M.SEMANTIC:
         out += f""", t AS MATERIALIZED (SELECT source AS id FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])}) UNION SELECT target FROM e1 WHERE type IN ({quoted(M.SEMANTIC[mode])})),
-n1 AS (SELECT * FROM n0 WHERE id IN (SELECT id FROM t) OR NOT EXISTS (SELECT 1 FROM t)),
-e2 AS (SELECT * FROM e1 WHERE (source IN (SELECT id FROM t) AND target IN (SELECT id FROM t)) OR NOT EXISTS (SELECT 1 FROM t))"""
+k AS MATERIALIZED (SELECT count(*) AS k FROM t),
+n1 AS (SELECT n0.* FROM n0 CROSS JOIN k LEFT JOIN t ON n0.id = t.id WHERE t.id IS NOT NULL OR k = 0),
+e2 AS (SELECT e1.* FROM e1 CROSS JOIN k LEFT JOIN t s ON e1.source = s.id LEFT JOIN t g ON e1.target = g.id WHERE (s.id IS NOT NULL AND g.id IS NOT NULL) OR k = 0)"""
     else:
         out += ", n1 AS (SELECT * FROM n0), e2 AS (SELECT * FROM e1)"
     return out + " SELECT 'node' AS part, id, type FROM n1 UNION ALL SELECT 'edge', id, type FROM e2"
