@@ -243,19 +243,64 @@ def context_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataF
 
 
 def within_budget(snippets: DataFrame, most: int = PACK_SNIPPETS, chars: int = PACK_CHARS) -> DataFrame:
-    """snippets (pack, place, size) that fit: in order, at most `most` of a pack; one that would pass `chars` in all is left out and the next one is tried.
+    """snippets (pack, place, size, ...) that fit: in order, at most `most` of a pack; one that would pass `chars` in all is left out and the next one is tried."""
+    return budgeted(snippets.withColumn("budget__id", F.col("place").cast("string")), "budget__id", most, chars).where("verdict = 'kept'").drop("verdict", "budget__id")
 
-    A pack's snippets are few (its nodes), so each pack is folded in one array.
-    """
-    rows = snippets.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("rows"))
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("places"))
 
-    def step(state, row):
-        fits = (state["n"] < most) & (state["used"] + row["size"] <= chars)
-        return F.when(fits, F.struct((state["n"] + 1).alias("n"), (state["used"] + row["size"]).alias("used"), F.concat(state["places"], F.array(row["place"])).alias("places"))).otherwise(state)
+def budgeted(snippets: DataFrame, key: str, most: int = PACK_SNIPPETS, chars: int = PACK_CHARS) -> DataFrame:
+    """snippets (pack, place, size, key, ...) with `verdict`: kept, again (a key that its pack has kept), many (the pack is full) or long (it would pass `chars`).
 
-    kept = rows.select("pack", F.explode(F.aggregate("rows", empty, step)["places"]).alias("place"))
-    return snippets.join(kept, ["pack", "place"])
+    Packs are sorted within partitions and folded as they stream by, across batches; a task holds one pack's few kept keys, never a pack. Limits are tried before repetition.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        pack, used, kept = object(), 0, set()
+        for b in batches:
+            said = []
+            for p, size, k in zip(b["pack"].to_pylist(), b["size"].to_pylist(), b[key].to_pylist()):
+                if p != pack:
+                    pack, used, kept = p, 0, set()
+                verdict = "many" if len(kept) >= most else "long" if used + size > chars else "again" if k in kept else "kept"
+                if verdict == "kept":
+                    kept.add(k)
+                    used += size
+                said.append(verdict)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=[*b.schema.names, "verdict"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in snippets.schema)
+    return snippets.repartition("pack").sortWithinPartitions("pack", "place").mapInArrow(run, f"{fields}, verdict string")
+
+
+def context_packs(nodes: DataFrame, edges: DataFrame, roots: DataFrame, code: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """(pack, part, place, id, text) of the context of every root (id): its nodes, edges, snippets, diagnostics, warnings and summary, each part in its order.
+
+    code (id, snippet, text) has a snippet for a node with a file and a line, snippet naming its file and lines; diagnostics (node, id, seq). Nodes come as context_nodes has them; an external one has no snippet. Snippets are
+    tried in the order of their nodes within both budgets, one of the same lines once. Warnings, each once: nodes that are detached or generated, packs that were cut. A root that is no node has no pack.
+    """
+    c = F.col
+    own = context_nodes(nodes, edges, roots)
+    about = nodes.select("id", "label", "type", "reachability")
+    state = own.join(about, "id")
+    known = roots.select("id").distinct().join(nodes.select("id"), "id", "left_semi").select(c("id").alias("pack"))
+    rank = -C.trace_rank(c("type"), c("confidence"), c("evidence"))
+    at = edges.select(c("id").alias("edge"), rank.alias("rank"), F.explode(F.array_distinct(F.array("source", "target"))).alias("pack")).dropDuplicates(["pack", "edge"]).join(known, "pack", "left_semi")
+    linked = at.withColumn("place", F.row_number().over(Window.partitionBy("pack").orderBy("rank", "edge")))
+    tried = state.where("NOT (type = 'ExternalCrate' OR coalesce(reachability = 'External', false))").join(code.select("id", "snippet", "text"), "id").select("pack", "place", "snippet", "text", F.length("text").alias("size"))
+    judged = budgeted(tried, "snippet")
+    found = state.join(diagnostics.select(c("node").alias("id"), c("id").alias("diagnostic"), "seq"), "id")
+    risky = state.where("reachability IN ('Detached', 'Generated')").select("pack", F.concat(c("label"), F.lit(" is "), c("reachability"), F.lit("; include with care.")).alias("text"))
+    cut = judged.where("verdict IN ('many', 'long')").select("pack", F.when(c("verdict") == "many", f"Context pack limited to {PACK_SNIPPETS} snippets.").otherwise(f"Context pack limited to {PACK_CHARS} characters.").alias("text"))
+    none = F.lit(None).cast("string")
+    row = lambda d, part, place, id_, text: d.select("pack", F.lit(part).alias("part"), place.cast("bigint").alias("place"), id_.alias("id"), text.alias("text"))
+    parts = [
+        row(state, "node", c("place"), c("id"), c("label")), row(linked, "edge", c("place"), c("edge"), none), row(judged.where("verdict = 'kept'"), "snippet", c("place"), c("snippet"), c("text")),
+        row(found, "diagnostic", c("place") * 1_000_000 + c("seq"), c("diagnostic"), none), row(risky.union(cut).distinct(), "warning", F.lit(0), none, c("text")),
+    ]
+    every = reduce(DataFrame.union, parts)
+    n = {p: F.count_if(c("part") == p) for p in ("snippet", "node", "edge", "diagnostic")}
+    summary = every.groupBy("pack").agg(F.concat(F.concat_ws(", ", *(N.counted(v, p) for p, v in n.items())), F.lit(".")).alias("text"))
+    return every.union(row(summary, "summary", F.lit(0), none, c("text")))
 
 
 def check_messages(lines: DataFrame) -> DataFrame:

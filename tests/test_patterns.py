@@ -46,3 +46,45 @@ def test_visible_graph_keeps_flows_of_different_kinds_apart_and_notes_collapsed_
     assert notes["fa"] == (1, "Collapsed: 1 hidden · Calls") and notes["b"][1] is None and set(notes) == {"m", "fa", "fb", "b", "c"}
     only = visible_graph(nodes, edges, ["rust"], ["Active"], "all", spark.createDataFrame([], "id string, position int"), 4, lens=lambda n, e: (n.where("type = 'Struct'"), e.where("type = 'Calls'")))
     assert {r["id"] for r in only[0].collect()} == {"a", "b", "c"} and only[1].where(F.col("type") != "Calls").count() == 0
+
+
+def test_context_packs_by_a_plain_fold(spark):
+    from graphloom.operators.views import context_packs
+
+    rng = random.Random(9)
+    states = ["Active", "Detached", "External", None]
+    nodes = [(f"n{k:02}", rng.choice(["Function", "ExternalCrate", "Struct"]), f"label{k}", states[k % 4] if k % 5 else "Active") for k in range(40)]
+    links = [(f"e{k:03}", "n00" if k < 45 else f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}", rng.choice(["Calls", "Uses"]), rng.choice(["Exact", "Heuristic"])) for k in range(90)]
+    code = {i: (f"f{k % 9}:1", "x" * rng.choice([10, 9000, 4000, 200])) for k, (i, *_) in enumerate(nodes) if k % 6}
+    diags = [(f"n{k % 40:02}", f"d{k}", k) for k in range(50)]
+    nf = spark.createDataFrame(nodes, "id string, type string, label string, reachability string")
+    ef = spark.createDataFrame([(*x, None) for x in links], "id string, source string, target string, type string, confidence string, evidence string")
+    got = {}
+    for r in context_packs(nf, ef, spark.createDataFrame([("n00",), ("n07",), ("gone",)], "id string"), spark.createDataFrame([(i, *c) for i, c in code.items()], "id string, snippet string, text string"), spark.createDataFrame(diags, "node string, id string, seq int")).collect():
+        got.setdefault((r["pack"], r["part"]), []).append((r["place"], r["id"], r["text"]))
+    known = {n[0]: n for n in nodes}
+    for pack in ("n00", "n07"):
+        own = sorted((x for x in links if pack in x[1:3]), key=lambda x: (-({"Exact": 3, "Heuristic": 0}[x[4]] + {"Calls": 2, "Uses": 1}[x[3]]), x[0]))
+        order = [pack]
+        for x in own:
+            order += [i for i in x[1:3] if i not in order and known[i][3] not in ("Detached", "Generated")]
+        assert [i for _, i, _ in sorted(got[pack, "node"])] == order and [i for _, i, _ in sorted(got[pack, "edge"])] == [x[0] for x in own]
+        kept, used, warned = [], 0, set()
+        for i in order:
+            if i not in code or known[i][1] == "ExternalCrate" or known[i][3] == "External":
+                continue
+            name, text = code[i]
+            if len(kept) >= 12:
+                warned.add("Context pack limited to 12 snippets.")
+            elif used + len(text) > 30_000:
+                warned.add("Context pack limited to 30000 characters.")
+            elif name not in kept:
+                kept.append(name)
+                used += len(text)
+        if known[pack][3] == "Detached":
+            warned.add(f"{known[pack][2]} is Detached; include with care.")
+        assert [i for _, i, _ in sorted(got.get((pack, "snippet"), []))] == kept and {t for *_, t in got.get((pack, "warning"), [])} == warned
+        assert [i for _, i, _ in sorted(got[pack, "diagnostic"])] == [d for i in order for n, d, _ in diags if n == i]
+        n = [len(got.get((pack, p), [])) for p in ("snippet", "node", "edge", "diagnostic")]
+        assert got[pack, "summary"][0][2] == ", ".join(f"{k} {w}{'' if k == 1 else 's'}" for k, w in zip(n, ("snippet", "node", "edge", "diagnostic"))) + "."
+    assert not [k for k in got if k[0] == "gone"]
