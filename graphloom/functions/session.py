@@ -34,3 +34,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it isn't installed and no PYTHONPATH leads to it."""
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent.parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='graphloom-')}/graphloom", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(made)
