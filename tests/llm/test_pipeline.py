@@ -130,4 +130,4 @@ def test_stages_on_odd_rows(spark):
 
 def test_one_query_for_each_operator():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
