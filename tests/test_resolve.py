@@ -64,3 +64,14 @@ def test_calls_come_once_without_sorting_the_pairs(spark):
     found = R.function_calls(spark.createDataFrame(asked, "source string, callee string"), nodes, ["Function", "Hook"])
     assert rows(found.select("source", "target")) == sorted(want)
     assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_route_bridge_makes_its_pairs_once(spark):
+    calls = [(f"c{k}", ("get", "post", None)[k % 3], "/api/x/") for k in range(60)] + [("c0", None, "/api/x"), ("no", "get", "/api/y")]
+    ends = [(f"e{k}", ("GET /api/x", "PUT /api/x")[k % 2]) for k in range(40)]
+    found = K.route_bridge(spark.createDataFrame(calls, "call string, verb string, path string"), spark.createDataFrame(ends, "endpoint string, label string"))
+    sure = [(c, e, "Semantic") for c, v, p in calls for e, label in ends if v and f"{v.upper()} {p.rstrip('/')}" == label]
+    done = {c for c, _, _ in sure}
+    loose = [(c, e, "Heuristic") for c, v, p in calls for e, label in ends if c not in done and label.endswith(p.rstrip("/"))]
+    assert rows(found) == sorted(sure + loose)
+    assert sum(rows_of_joins(found)) <= len(sure) + len(loose) + 2 * len(calls)
