@@ -167,9 +167,9 @@ def apply_patch(nodes: DataFrame, edges: DataFrame, added: DataFrame, updated: D
 
 
 def merge_edges(edges: DataFrame, key: list[str]) -> DataFrame:
-    """Edges of one key as one: the first, with the strongest confidence of all."""
+    """Edges of one key as one: the first, of equal seq the smallest id, with the strongest confidence of all."""
     rank = C.lookup(F.col("confidence"), C.MERGE_RANK, 0)
-    return edges.groupBy(*key).agg(F.min_by("id", "seq").alias("id"), F.max_by("confidence", rank).alias("confidence"), F.count("*").alias("n"))
+    return edges.groupBy(*key).agg(F.min(F.struct("seq", "id")).getField("id").alias("id"), F.max_by("confidence", rank).alias("confidence"), F.count("*").alias("n"))
 
 
 def route_bridge(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
