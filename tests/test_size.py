@@ -8,3 +8,20 @@ def test_merged_edges_of_one_seq_are_the_smallest_id_in_any_order(spark):
     for given in (rows, rows[::-1]):
         edges = spark.createDataFrame(given, "seq long, id string, source string, type string, confidence string").coalesce(1)
         assert [tuple(r) for r in K.merge_edges(edges, ["source", "type"]).collect()] == [("f", "Uses", "a", "Exact", 3)]
+
+
+def test_tasks_of_a_graph_stay_small_whatever_its_size(spark, tmp_path):
+    from graphloom.functions import session
+
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.range(200_000).selectExpr("id", "uuid() AS x").write.parquet(f"{tmp_path}/large")
+    large, kept = spark.read.parquet(f"{tmp_path}/large"), session.TASK_BYTES
+    try:
+        session.TASK_BYTES = 1 << 19
+        session.task_sizes(spark, [large])
+        assert int(spark.conf.get(initial)) > 8 and large.rdd.getNumPartitions() > 8
+        session.TASK_BYTES = kept
+        session.task_sizes(spark, [large])
+        assert spark.conf.get(initial, None) is None
+    finally:
+        session.TASK_BYTES = kept
