@@ -47,10 +47,17 @@ class Layout:
         return 1 << self.bucket_bits
 
 
-def layout(values: int, blocks: int, per_bucket: int = PER_BUCKET) -> Layout:
-    """The layout for so many values from so many blocks: cells of about one value a message, and whole bytes below."""
+def layout(values: int, blocks: int, per_bucket: int = PER_BUCKET, spare: int | None = None) -> Layout:
+    """The layout for so many values from so many blocks: cells of about one value a message, and whole bytes below.
+
+    With `spare` a hash has just so many bits beyond log2 of all values, so that chance meetings are the same share of any number of values; else SPARE or up to seven more, which the bytes give.
+    """
     bucket_bits = max(4, math.ceil(math.log2(max(values, 1) / per_bucket + 1)))
     inner_bits = max(0, round(math.log2(max(1, values / max(1, blocks)))) - bucket_bits)
+    if spare is not None:
+        want = min(64, math.ceil(math.log2(max(values, 2))) + spare)
+        low_bytes = max(1, round((want - bucket_bits - inner_bits) / 8))
+        return Layout(bucket_bits, max(0, want - bucket_bits - 8 * low_bytes), low_bytes)
     want = math.ceil(math.log2(max(values, 2))) + SPARE
     low_bytes = min((64 - bucket_bits - inner_bits) // 8, max(1, math.ceil((want - bucket_bits - inner_bits) / 8)))
     return Layout(bucket_bits, inner_bits, low_bytes)

@@ -16,6 +16,8 @@ from graphloom.llm.common import checkpoint, mix64, parallelism, salted_join, sh
 from graphloom.llm.components import connected_components
 
 SEED = 42
+#: Bits of a variant's hash beyond log2 of all variants: 2^-SPARE of these, some eight a fingerprint, meet another by chance and become rows.
+SPARE = 8
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -69,7 +71,7 @@ def near_links(fps: DataFrame, radius: int = 4, per_block: int = 1024, per_bucke
     masks, inner = ball(radius - radius // 2), len(ball(radius // 2))
     n = fps.count()
     blocks = max(1, parallelism(fps.sparkSession) if n > 2000 else 1, math.ceil(n / per_block))
-    at = packed.layout(n * len(masks), blocks, per_bucket)
+    at = packed.layout(n * len(masks), blocks, per_bucket, SPARE)
     # the rows are few and the work behind each is large, so the number of tasks is stated
     fps = fps.select("fp", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
