@@ -66,19 +66,48 @@ def estimate(q: np.ndarray, centre: np.ndarray, turn: np.ndarray, codes: np.ndar
     return q_norm[:, None] ** 2 + norm[None, :] ** 2 - 2 * norm[None, :] * inner, 2 * norm[None, :] * error
 
 
+def coarse(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(components in one byte, each vector's step, how far it is from what these say): sure bounds for what the one-bit codes leave."""
+    step = (np.maximum(np.abs(turned).max(axis=1), 1e-30) / 127).astype("<f4")
+    step = np.nextafter(step, np.float32(np.inf))
+    level = np.clip(np.rint(turned / step[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    far = np.linalg.norm(turned - level * step[:, None].astype(np.float64), axis=1) * (1 + 1e-6)
+    return level, step, np.nextafter(far.astype("<f4"), np.float32(np.inf))
+
+
+def refine(turned: np.ndarray, level: np.ndarray, step: np.ndarray, far: np.ndarray, row: np.ndarray, col: np.ndarray):
+    """(lower, upper) bounds of the squared distances of pairs (row of turned, col of level): the distance to the coarse vector, give or take how far that is off."""
+    d = np.empty(len(row))
+    for at in range(0, len(row), 1 << 15):
+        r, c = row[at : at + (1 << 15)], col[at : at + (1 << 15)]
+        d[at : at + (1 << 15)] = np.linalg.norm(turned[r] - level[c] * step[c, None], axis=1)
+    slack = far[col] + 1e-9 * d  # rounding
+    return np.maximum(d - slack, 0) ** 2 * (1 - 1e-9), (d + slack) ** 2 * (1 + 1e-9)
+
+
 def scanner(k: int, centre: np.ndarray, turn: np.ndarray, epsilon: float):
     words = (len(centre) + 63) // 64
 
     def scan(data: bytes, n: int, q: np.ndarray, same: np.ndarray, state: dict):
         codes = np.frombuffer(data, "<u8", n * words).reshape(n, words)
-        norm, agree = np.frombuffer(data, "<f4", 2 * n, 8 * n * words).reshape(2, n).astype(np.float64)
+        norm, agree, step, far = np.frombuffer(data, "<f4", 4 * n, 8 * n * words).reshape(4, n).astype(np.float64)
+        level = np.frombuffer(data, np.int8, n * len(centre), (8 * words + 16) * n).reshape(n, -1)
         about, half = estimate(q, centre, turn, codes, norm, agree, epsilon)
         upper = about + half
         upper[same] = np.inf
         seen = np.concatenate((state.get("best", np.full((len(q), k), np.inf)), upper), axis=1)
         state["best"] = np.partition(seen, k - 1, axis=1)[:, :k]
         row, col = np.nonzero((about - half <= state["best"].max(axis=1)[:, None]) & ~same)
-        return row, col, ((about - half)[row, col], upper[row, col])
+        low, high = refine((q - centre) @ turn, level, step, far, row, col)
+        sure = state.get("sure", np.full((len(q), k), np.inf))
+        order = np.lexsort((high, row))  # the kth smallest sure upper bound of each query, this block's and earlier ones'
+        place = np.arange(len(row)) - np.searchsorted(row, row[order])
+        few = place < k
+        new = np.full((len(q), k), np.inf)
+        new[row[order][few], place[few]] = high[order][few]
+        state["sure"] = np.partition(np.concatenate((sure, new), axis=1), k - 1, axis=1)[:, :k]
+        near = low <= state["sure"].max(axis=1)[row]
+        return row[near], col[near], (low[near], high[near])
 
     return scan
 
@@ -90,7 +119,8 @@ def candidates(data: DataFrame, asked: DataFrame, k: int, dim: int, epsilon: flo
 
     def prepare(x: np.ndarray) -> bytes:
         codes, norm, agree = encode(x, centre, turn)
-        return codes.tobytes() + norm.astype("<f4").tobytes() + agree.astype("<f4").tobytes()
+        level, step, far = coarse((x - centre) @ turn)
+        return codes.tobytes() + norm.astype("<f4").tobytes() + agree.astype("<f4").tobytes() + step.tobytes() + far.tobytes() + level.tobytes()
 
     exact = lambda x: x.astype("<f8").tobytes()
     found = meet(blocks_of(data, block_rows, prepare), blocks_of(asked, 256, exact), scanner(k, centre, turn, epsilon), "lower double, upper double")
@@ -103,8 +133,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, epsilon: float
     Every vector is coded: its difference from the centre of all is rotated at random and kept as
     one bit a component, packed, with its norm and its inner product with the code as correction
     scalars, 16 bytes at 64 components. Codes estimate distances with a bound that holds with a
-    probability set by epsilon (in standard widths). A vector is chosen for reranking if its lower
-    bound is no worse than the query's kth smallest upper bound; only chosen vectors are fetched
+    probability set by epsilon (in standard widths). A vector is chosen if its lower
+    bound is no worse than the query's kth smallest upper bound. Codes of one byte a component give the chosen ones sure bounds
+    in the same task, which leave little more than the k nearest for reranking; only these are fetched
     as they are, by a join, and their scores are exact, in double precision.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite
