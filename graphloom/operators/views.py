@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions import names as N
+from graphloom.functions.session import checkpoint
 from graphloom.operators.modes import both_ends, bundle, edge_visibility
 from graphloom.operators.scan import numbered
 
@@ -165,19 +166,31 @@ def without_files(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> tup
 
 def without_relations(nodes: DataFrame, edges: DataFrame, changed: DataFrame, scripts: bool) -> DataFrame:
     """edges without the relations at changed files and their symbols; all containment stays; of scripts every heuristic API call goes."""
-    ids = nodes.where("file IS NOT NULL").join(changed.select("file").distinct(), "file", "left_semi").select("id", F.lit(True).alias("hit"))
-    mark = lambda e, c: e.join(ids.select(F.col("id").alias(c), F.col("hit").alias(f"{c}_hit")), c, "left")
-    touched = F.coalesce("source_hit", "target_hit", F.lit(False))
-    guess = (F.col("type") == "ApiCall") & (F.col("confidence") == "Heuristic") if scripts else F.lit(False)
-    return mark(mark(edges, "source"), "target").where((F.col("type") == "Contains") | ~(touched | guess)).drop("source_hit", "target_hit")
+    ids = nodes.where("file IS NOT NULL").join(changed.select("file").distinct(), "file", "left_semi").select("id")
+    return edges.where("type = 'Contains'").unionByName(without_ends(relations(edges, scripts), ids))
+
+
+def relations(edges: DataFrame, scripts: bool) -> DataFrame:
+    """The edges that are no containment and, of scripts, no heuristic API calls."""
+    return edges.where("type <> 'Contains' AND NOT (type = 'ApiCall' AND confidence = 'Heuristic')" if scripts else "type <> 'Contains'")
+
+
+def without_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges at none of ids (id)."""
+    return edges.join(ids.select(F.col("id").alias("source")), "source", "left_anti").join(ids.select(F.col("id").alias("target")), "target", "left_anti")
 
 
 def refreshed(nodes: DataFrame, edges: DataFrame, changed: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) after changed files (file) were read again: their old symbols and relations go, what was read comes, the first of equal ids stays."""
-    kept, left = without_files(nodes, edges, changed)
-    left = without_relations(kept, left, changed, True)
+    """(nodes, edges) after changed files (file) were read again: their old symbols and relations go, what was read comes, the first of equal ids stays.
+
+    As without_files and then without_relations, but each edge meets the changed ids once at either end: relations all of them, containment only the symbols.
+    """
+    at = checkpoint(nodes.where("file IS NOT NULL").join(changed.select("file").distinct(), "file", "left_semi").select("id", "type"))
+    gone = at.where("type <> 'File'")
+    left = checkpoint(without_ends(edges.where("type = 'Contains'"), gone).unionByName(without_ends(relations(edges, True), at)))
     add = lambda a, b: a.unionByName(b.select(a.columns).join(a.select("id"), "id", "left_anti").dropDuplicates(["id"]))
-    return add(kept, new_nodes), both_ends(add(left, new_edges), add(kept, new_nodes))
+    every = checkpoint(add(nodes.join(gone, "id", "left_anti"), new_nodes))
+    return every, both_ends(add(left, new_edges), every)
 
 
 def parsed_or_found(parsed: DataFrame, found: DataFrame) -> DataFrame:

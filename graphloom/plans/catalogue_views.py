@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
@@ -292,7 +294,7 @@ NEWS = f"SELECT id, type, file FROM nodes WHERE type <> 'File' AND file IN (SELE
 
 
 def read_again(g):
-    g = settled(g)
+    g = settled(replace(g, nodes=g.nodes.select("seq", "id", "type", "file"), edges=g.edges.select("id", "source", "target", "type", "confidence")))
     fresh = g.nodes.join(changed(g), "file", "left_semi").where("type <> 'File' AND seq % 5 <> 0").select(g.nodes.columns)
     links = g.edges.join(fresh.select(F.col("id").alias("target")), "target", "left_semi").where("type = 'Contains'").select(g.edges.columns)
     return both(*V.refreshed(g.nodes, g.edges, changed(g), fresh, links))

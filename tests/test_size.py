@@ -25,3 +25,16 @@ def test_tasks_of_a_graph_stay_small_whatever_its_size(spark, tmp_path):
         assert spark.conf.get(initial, None) is None
     finally:
         session.TASK_BYTES = kept
+
+
+def test_containment_meets_no_changed_ids_and_relations_leave_at_once(spark):
+    from graphloom.operators import views as V
+
+    nodes = spark.createDataFrame([("a", "File", "x"), ("b", "Function", "x"), ("c", "Function", "y"), ("d", "Function", None)], "id string, type string, file string")
+    rows = [("1", "a", "b", "Contains", "Exact"), ("2", "b", "c", "Calls", "Exact"), ("3", "c", "a", "Uses", "Exact"), ("4", "c", "d", "Calls", None), ("5", "c", "d", "ApiCall", "Heuristic"), ("6", "d", None, "Uses", "Exact"), ("7", "c", "d", "ApiCall", None)]
+    edges = spark.createDataFrame(rows, "id string, source string, target string, type string, confidence string")
+    changed = spark.createDataFrame([("x",)], "file string")
+    left = V.without_relations(nodes, edges, changed, True)
+    assert {r["id"] for r in left.collect()} == {"1", "4", "6"}
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftOuter" not in plan
