@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest doc_id; five-word shingle sets of Jaccard similarity 0.8 or more."""
-    return keep_one_similar(docs, shingle=5, least=0.8).select(*COLUMNS)
+    """One document of each near-duplicate group stays, the one of the smallest doc_id: SimHash fingerprints at 4 or fewer differing bits, and MinHash bands beyond, propose pairs; five-word shingle sets of Jaccard similarity 0.8 or more decide."""
+    return keep_one_similar(docs, shingle=5, least=0.8, radius=4).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

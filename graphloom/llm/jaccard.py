@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands give candidates, exact sets decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints within a Hamming ball and MinHash bands give candidates, exact sets decide."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import checkpoint, mix64, remove, salted_join, short_batches, trim, unused, written
 from graphloom.llm.components import connected_components
+from graphloom.llm.simhash import folded, near_links, shingle_hashes
 
 SEED = 42
 #: A pair of similarity s shares no band with probability (1 - s^ROWS)^BANDS: 5e-6 at 0.8, 3e-11 at 0.9.
@@ -30,11 +31,7 @@ CROWD = 32
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct XXH64 hashes of a text's shingles, sorted; a text of fewer words is one shingle, a blank one has none."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, as in simhash.py
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+    return np.unique(shingle_hashes(text, size))
 
 
 def coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +61,7 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def set_keys(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n, bands, sketch) for every row; key is the hash of the whole set of shingles, so equal sets have one key.
+    """(id, key, n, bands, sketch, fp) for every row; key is the hash of the whole set of shingles, so equal sets have one key, and fp the SimHash, which counts repeats.
 
     The sets themselves are as large as the texts and are not kept: few of them are ever compared (grams_of).
     """
@@ -74,16 +71,17 @@ def set_keys(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
         for b in batches:
             for at in range(0, b.num_rows, 100):  # the sets of long texts are as large as the texts
                 part = b.slice(at, 100)
-                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                all_ = [shingle_hashes(t.as_py(), size) for t in part.column(1)]
+                sets = [np.unique(h) for h in all_]
                 key = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - 2**63 for s in sets], pa.int64())
                 banded, sketches = zip(*(bands(s, xor, times) for s in sets))
-                out = [part.column(0), key, pa.array([len(s) for s in sets], pa.int32()), *map(lists, (banded, sketches))]
-                yield pa.record_batch(out, names=[id_col, "key", "n", "bands", "sketch"])
+                out = [part.column(0), key, pa.array([len(s) for s in sets], pa.int32()), *map(lists, (banded, sketches)), pa.array([folded(h) for h in all_], pa.int64())]
+                yield pa.record_batch(out, names=[id_col, "key", "n", "bands", "sketch", "fp"])
         trim()
 
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key bigint, n int, bands array<bigint>, sketch array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key bigint, n int, bands array<bigint>, sketch array<bigint>, fp bigint")
 
 
 def grams_of(texts: DataFrame, size: int) -> DataFrame:
@@ -161,12 +159,22 @@ def rooted(rows: DataFrame, roots: DataFrame, key: str, by: str) -> DataFrame:
     return found.withColumn(key, F.coalesce("new__root", key)).drop("new__root")
 
 
-def jaccard_roots(sets: DataFrame, grams_for, least: float) -> tuple[DataFrame, DataFrame]:
+def fingerprint_pairs(own: DataFrame, radius: int) -> DataFrame:
+    """own (key, fp) -> (u, v), keys in order: each fingerprint's other keys with its least one, and the least ones of fingerprints that near_links links within the radius."""
+    keys = checkpoint(own.select("key", "fp").distinct())
+    first = keys.groupBy("fp").agg(F.min("key").alias("first"))
+    same = salted_join(keys, first, "fp", "key").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    ends = near_links(first.select("fp"), radius)
+    near = ends.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
+    return checkpoint(same.union(near).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
+
+def jaccard_roots(sets: DataFrame, close: DataFrame, grams_for, least: float) -> tuple[DataFrame, DataFrame]:
     """sets (key, n, bands, sketch), distinct -> (node, root) twice: a key's root by the first, and that one's by the second, name its component.
 
-    Components are those of all pairs that share a band and have the similarity. grams_for(keys) gives the (key, grams) of keys (key).
+    Components are those of all pairs that are close (u, v), by their fingerprints, or share a band, and have the similarity. grams_for(keys) gives the (key, grams) of keys (key).
 
-    First every set of a band's bucket is held against the bucket's hub, which joins most of a
+    First the close pairs are compared, and every set of a band's bucket with the bucket's hub, which joins most of a
     group without the pairs inside it. Then the pairs of a bucket whose components still differ are
     compared by size, sketch and, for crowded buckets, foreign shingles, and those left by the sets themselves (open_pairs);
     pairs of one component can add nothing. What these link are roots of the first step, far fewer than sets.
@@ -174,9 +182,9 @@ def jaccard_roots(sets: DataFrame, grams_for, least: float) -> tuple[DataFrame,
     spread = sets.select("key", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = checkpoint(spread.join(shared, "bucket"))
-    grams = checkpoint(grams_for(met.select("key").distinct()))
+    grams = checkpoint(grams_for(met.select("key").union(close.select("u")).union(close.select("v")).distinct()))
     stars = met.join(hubs(met), "bucket").where("key <> hub")
-    stars = checkpoint(stars.select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v")).distinct())
+    stars = checkpoint(stars.select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v")).union(close).distinct())
     roots = checkpoint(connected_components(checkpoint(alike(stars, grams, least))))
     placed = met.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "members", "key", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
@@ -191,11 +199,12 @@ def jaccard_roots(sets: DataFrame, grams_for, least: float) -> tuple[DataFrame,
     return roots, checkpoint(connected_components(rooted(rooted(late, roots, "u", "v"), roots, "v", "u")))
 
 
-def similar_components(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str, radius: int = 4) -> DataFrame:
     """(row, key, root) with row a struct (id, of): the components of all rows whose shingle sets are equal or similar."""
     of = F.xxhash64(text_col)
     rows = docs.select(F.struct(F.col(id_col).alias("id"), of.alias("of")).alias("row"), F.col(text_col).alias("text"))
     own, path = written(set_keys(rows, shingle, "row", "text"))
+    close = fingerprint_pairs(own, radius)
     sets = own.select("key", "n", "bands", "sketch").dropDuplicates(["key"])
 
     def grams_for(keys: DataFrame) -> DataFrame:
@@ -205,20 +214,20 @@ def similar_components(docs: DataFrame, shingle: int, least: float, id_col: str,
         texts = rows.join(asked, (F.col("row.of") == F.col("o")) & F.col("row.id").eqNullSafe(F.col("i"))).select("key", "text")
         return grams_of(texts.dropDuplicates(["key"]), shingle)
 
-    first, second = jaccard_roots(sets, grams_for, least)
+    first, second = jaccard_roots(sets, close, grams_for, least)
     found = checkpoint(rooted(rooted(own.select("row", "key", F.col("key").alias("root")), first, "root", "row"), second, "root", "row"))
     remove(docs.sparkSession, path)
     return found
 
 
-def keep_one_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """The rows of docs of which one stays for each group of near copies: the one of the smallest id, a null id being the largest.
 
     Rows are linked if the sets of their shingles have at least this Jaccard similarity; groups are
-    the components. Null, empty and blank texts have the empty set and are one group. Among rows of
+    the components. SimHash fingerprints within the radius propose pairs, MinHash bands those that the radius doesn't reach. Null, empty and blank texts have the empty set and are one group. Among rows of
     one id the text's hash decides; rows equal in id and text stay once. All columns pass through.
     """
-    found = similar_components(docs, shingle, least, id_col, text_col)
+    found = similar_components(docs, shingle, least, id_col, text_col, radius)
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("row.id").isNull().alias("none"), "row.id", "row.of")).alias("first"))
     own_id, own_of = unused("stay__id", docs), unused("stay__of", docs)
     stay = stay.select(F.col("first.id").alias(own_id), F.col("first.of").alias(own_of))

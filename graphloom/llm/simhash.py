@@ -20,13 +20,17 @@ SEED = 42
 SPARE = 8
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The SimHash of one text: a bit is set if over half of the shingles' XXH64 have it set."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of every shingle of a text, repeats included; a text of fewer words is one shingle, a blank one has none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and white space as the contract has it
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is set if over half of them have it set; 0 without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -34,6 +38,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The SimHash of one text."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp bigint) for every row; a null or empty text has fingerprint 0."""
 
