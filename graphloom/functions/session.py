@@ -34,6 +34,23 @@ def stored(df: DataFrame) -> DataFrame:
 checkpoint = stored
 
 
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """stored(), and where task_sizes asks for more partitions dealt into as many buckets of the key: joins by the key, however many, then move only their other side."""
+    spark, parts = df.sparkSession, df.sparkSession.conf.get(INITIAL, None)
+    if not parts:
+        return stored(df)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # with fewer buckets than a shuffle has partitions Spark would move both sides
+    n = max(int(parts), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(n, key).write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files stay
+    return found
+
+
 #: Bytes of a file or a shuffle that one task reads; in sorts and aggregations they take some twenty times as much memory. A shuffle of a graph moves up to four times its tables.
 TASK_BYTES, SHUFFLED = 16 << 20, 4
 
@@ -44,11 +61,11 @@ def task_sizes(spark: SparkSession, tables: list[DataFrame]) -> None:
     for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
         conf.set(key, str(TASK_BYTES))
     size = sum(int(str(t._jdf.queryExecution().analyzed().stats().sizeInBytes())) for t in tables)
-    want, initial = -(-size * SHUFFLED // TASK_BYTES), "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    want = -(-size * SHUFFLED // TASK_BYTES)
     if want > int(conf.get("spark.sql.shuffle.partitions")):
-        conf.set(initial, str(want))
+        conf.set(INITIAL, str(want))
     else:
-        conf.unset(initial)
+        conf.unset(INITIAL)
 
 
 def ship(spark: SparkSession) -> None:

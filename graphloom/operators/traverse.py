@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.session import checkpoint
+from graphloom.functions.session import bucketed, checkpoint
 
 
 def spread(steps: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
-    """(id, hop) of what is reached from start (id) along steps (a, b); hop is the least number of steps."""
-    steps = steps if depth == 1 else checkpoint(steps.distinct())  # read once every hop
+    """(id, hop) of what is reached from start (id) along steps (a, b), of which some may be repeated; hop is the least number of steps."""
+    steps = steps if depth == 1 else bucketed(steps, "a")  # read once every hop
     seen = checkpoint(start.select("id").distinct().withColumn("hop", F.lit(0)))
     frontier, hop = seen, 0
     while depth is None or hop < depth:

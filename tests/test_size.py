@@ -1,5 +1,7 @@
 """What larger tables showed: ties and what queries hold, send and write."""
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import catalog as K
 
 
@@ -38,3 +40,24 @@ def test_containment_meets_no_changed_ids_and_relations_leave_at_once(spark):
     assert {r["id"] for r in left.collect()} == {"1", "4", "6"}
     plan = left._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftOuter" not in plan
+
+
+def test_steps_of_a_large_graph_move_once_for_all_hops(spark):
+    from graphloom.functions import session
+    from graphloom.operators import traverse as T
+
+    steps = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)] + [("n0", "n1"), ("n6", "n0")], "a string, b string")
+    start = spark.createDataFrame([("n2",)], "id string")
+    join, want = "spark.sql.autoBroadcastJoinThreshold", {(f"n{k}", (k - 2) % 7) for k in range(7)}
+    kept = spark.conf.get(join)
+    assert {tuple(r) for r in T.spread(steps, start).collect()} == want
+    try:
+        spark.conf.set(join, "-1")
+        spark.conf.set(session.INITIAL, "12")
+        met = start.select(F.col("id").alias("a")).join(session.bucketed(steps, "a"), "a")
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and met.count() == 1
+        assert {tuple(r) for r in T.spread(steps, start).collect()} == want
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    finally:
+        spark.conf.set(join, kept)
+        spark.conf.unset(session.INITIAL)
