@@ -62,13 +62,15 @@ def hierarchy_depth():
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Ids that show at a hierarchy depth. nodes need connections."""
+    nodes = checkpoint(nodes.select("id", "seq", "type", hierarchy_depth().alias("depth")))  # what follows reads this and the next two several times
     ids = nodes.select("id")
     inner = edges.where(F.col("type").isin(STRUCTURAL)).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    roots = ids.join(inner.select(F.col("target").alias("id")), "id", "left_anti")
+    inner = checkpoint(inner.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    roots = checkpoint(ids.join(inner.select(F.col("b").alias("id")), "id", "left_anti"))
     if not roots.take(1):
         roots = nodes.orderBy("seq").limit(1).select("id")
-    levels = spread(inner.select(F.col("source").alias("a"), F.col("target").alias("b")), roots)
-    return nodes.join(levels.withColumnRenamed("hop", "level"), "id", "left").where((hierarchy_depth() <= depth) & (F.col("level").isNull() | (F.col("level") <= depth + 1))).select("id", "type", "level")
+    levels = spread(inner, roots)
+    return nodes.where(F.col("depth") <= depth).join(levels.withColumnRenamed("hop", "level"), "id", "left").where(F.col("level").isNull() | (F.col("level") <= depth + 1)).select("id", "type", "level")
 
 
 def owners(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
@@ -122,11 +124,12 @@ d AS (SELECT f.id, f.type, level, CASE WHEN f.type = 'ExternalCrate' OR (f.type
 
 
 def layered(g, depth):
+    g = settled(replace(g, nodes=g.nodes.select("seq", "id", "type", "file", "visibility", "signature"), edges=g.edges.select("source", "target", "type")))
     return T.hierarchy(M.degree(g.nodes, g.edges), g.edges, depth)
 
 
 for _d in (1, 2, 3):
-    graph_query(f"hierarchy_d{_d}", LEVELS + f" SELECT id, type, level FROM d WHERE depth <= {_d} AND (level IS NULL OR level <= {_d + 1})", lambda g, d=_d: layered(settled(g), d))
+    graph_query(f"hierarchy_d{_d}", LEVELS + f" SELECT id, type, level FROM d WHERE depth <= {_d} AND (level IS NULL OR level <= {_d + 1})", lambda g, d=_d: layered(g, d))
 
 OWN = """, grp AS (SELECT id AS owner, seq AS position FROM nodes WHERE type = 'Module'),
 cl AS (SELECT owner, position, e.target AS id FROM grp JOIN edges e ON e.source = owner AND e.type = 'Contains' UNION SELECT owner, position, e.target FROM cl JOIN edges e ON e.source = cl.id AND e.type = 'Contains'),

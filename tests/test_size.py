@@ -61,3 +61,20 @@ def test_steps_of_a_large_graph_move_once_for_all_hops(spark):
     finally:
         spark.conf.set(join, kept)
         spark.conf.unset(session.INITIAL)
+
+
+def test_hierarchy_reads_its_nodes_once(spark):
+    from graphloom.operators import traverse as T
+
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    kind = "id string, seq long, type string, file string, visibility string, signature string, connections long"
+    nodes = spark.createDataFrame([("m", 1, "Module", None, None, None, 0), ("f", 2, "File", "x", None, None, 1), ("s", 3, "Function", "x", "pub", None, 1)], kind).mapInArrow(told, kind)
+    edges = spark.createDataFrame([("m", "f", "Contains"), ("f", "s", "Contains"), ("s", "f", "Calls")], "source string, target string, type string")
+    assert {tuple(r) for r in T.hierarchy(nodes, edges, 2).collect()} == {("m", "Module", 0), ("f", "File", 1)}
+    assert read.value == 3
