@@ -63,6 +63,14 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on a query's shuffle files go when it has ended, and not when the driver happens to collect its garbage: in operators of many checkpointed steps they add up to several times the input.
+
+    It holds for DataFrames made after it. One that is run again makes the files again.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, mix64, remove, salted_join, short_batches, trim, unused, written
+from graphloom.llm.common import checkpoint, drop_shuffles, mix64, remove, salted_join, short_batches, trim, unused, written
 from graphloom.llm.components import connected_components
 from graphloom.llm.simhash import folded, near_links, shingle_hashes
 
@@ -201,6 +201,7 @@ def jaccard_roots(sets: DataFrame, close: DataFrame, grams_for, least: float) ->
 
 def similar_components(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str, radius: int = 4) -> DataFrame:
     """(row, key, root) with row a struct (id, of): the components of all rows whose shingle sets are equal or similar."""
+    drop_shuffles(docs.sparkSession)
     of = F.xxhash64(text_col)
     rows = docs.select(F.struct(F.col(id_col).alias("id"), of.alias("of")).alias("row"), F.col(text_col).alias("text"))
     own, path = written(set_keys(rows, shingle, "row", "text"))

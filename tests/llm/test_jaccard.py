@@ -1,11 +1,14 @@
 """The near-dedup stage against groups of Jaccard similarity 0.8 or more, found by comparing all pairs of plain shingle sets."""
 
 import random
+import time
 from collections import Counter
 
 import corpus_pipeline as P
 from conftest import SCHEMA, words
+from pyspark.sql import functions as F
 
+from graphloom.llm.common import checkpoint
 from graphloom.llm.jaccard import keep_one_similar
 
 
@@ -69,3 +72,22 @@ def test_documents(spark):
     want, similar = plain_survivors([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert similar >= 5
     assert Counter(r["doc_id"] for r in P.near_dedup(spark, docs, "").collect()) == want
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """Before, those of all the steps stayed until the driver collected its garbage, over four times the input in all."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "/shuffle_" in f}
+
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert keep_one_similar(spark.createDataFrame([(k, f"a b c d e f {k}") for k in range(20)], "doc_id bigint, text string")).count() == 20
+    before = files()
+    sums = spark.range(1000).repartition(5, "id").groupBy(F.col("id") % 7).count()
+    assert checkpoint(sums).count() == 7 and sums.count() == 7
+    for _ in range(25):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
