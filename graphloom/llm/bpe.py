@@ -7,6 +7,8 @@ import json
 import math
 import os
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +130,23 @@ def distinct_words(texts, added, buckets: int) -> tuple[list[str], np.ndarray]:
     seen: set[str] = set()
     for t in texts:
         seen.update(words_of(t, added))
-    words = sorted(seen)
+    return in_buckets(seen, buckets)
+
+
+def placed_words(texts, added, buckets: int) -> list[np.ndarray]:
+    """For each text of a block its words' places in distinct_words, in one pass over the texts."""
+    met: defaultdict[str, int] = defaultdict()
+    met.default_factory = met.__len__  # a new word's number is how many there were
+    numbers = [np.fromiter(map(met.__getitem__, w), np.int32, len(w)) for w in (words_of(t, added) for t in texts)]
+    words, _ = in_buckets(met, buckets)
+    place = np.empty(len(words), np.int32)
+    place[np.fromiter(map(met.__getitem__, words), np.int32, len(words))] = np.arange(len(words), dtype=np.int32)
+    return [place[n] for n in numbers]
+
+
+def in_buckets(distinct: Iterable[str], buckets: int) -> tuple[list[str], np.ndarray]:
+    """Distinct words by (bucket, word), and where each bucket begins."""
+    words = sorted(distinct)
     at = np.fromiter((xxhash.xxh64_intdigest(w.encode()) % buckets for w in words), np.int64, len(words))
     order = np.argsort(at, kind="stable")
     return [words[k] for k in order], np.searchsorted(at[order], np.arange(buckets + 1))
@@ -139,8 +157,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     Documents are dealt into blocks, compressed. Each block sends its distinct words to the tasks that own
     them by hash, compressed; there each distinct word is encoded once for all blocks and its ids
-    go back to the blocks that asked, in the order in which they asked. A block then looks up each
-    position's word. Both passes over the texts read the same exchange, and the corpus-wide
+    go back to the blocks that asked, in the order in which they asked. A block then numbers its words again, in
+    one pass, and looks up each position's ids. Both passes over the texts read the same exchange, and the corpus-wide
     word table is never in one place.
 
     A null or empty text has no ids. Added tokens that stand in a text become their own ids, as
@@ -191,15 +209,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def join(group: pa.Table, replies: pa.Table) -> pa.Table:
         added = added_pattern(spec.value)
-        words, _ = distinct_words(texts_of(group), added, buckets)
+        wanted = placed_words(texts_of(group), added, buckets)
         parts = [thaw(blob, 2) for blob in replies.sort_by("bucket")["ids"].to_pylist()]
         sizes = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p[0], "<u4") for p in parts)])
         flat = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p[1], "<u4") for p in parts)]).astype(np.int32)
         table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
-        place = {w: k for k, w in enumerate(words)}
-        del words, parts, sizes, flat
-        wanted = [np.fromiter((place[w] for w in words_of(t, added)), np.int32) for t in texts_of(group)]
-        del place
+        del parts, sizes, flat
         ends = np.concatenate(([0], np.cumsum([len(w) for w in wanted], dtype=np.int64)))
         found = table.take(pa.array(np.concatenate([np.zeros(0, np.int32), *wanted])))
         ids = pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[ends], pa.int32()), found.flatten())

@@ -234,3 +234,15 @@ def test_repeats_with_text_ids_and_shared_low_halves(spark, monkeypatch):
     assert len(high) == 6 and len(set(high.tolist())) == 6
     assert block.removed(np.zeros(0, np.uint64), np.zeros(0, np.uint64)).tolist() == [False] * 6 + [False, False, True, True, True, True]
     assert block.removed(low[:1], high[:1]).sum() >= 5
+
+
+def test_bpe_reads_a_block_once_to_place_its_words(monkeypatch):
+    """Before, the way back split every text twice."""
+    texts, read = ["b a b", "", "a b", "<|endoftext|> c a"], []
+    spec = bpe.read_tokenizer(PATH)
+    added, real = bpe.added_pattern(spec), bpe.words_of
+    words, _ = bpe.distinct_words(texts, added, 5)
+    monkeypatch.setattr(bpe, "words_of", lambda t, a: read.append(t) or real(t, a))
+    placed = bpe.placed_words(iter(texts), added, 5)
+    assert read == texts
+    assert [[words[k] for k in p] for p in placed] == [real(t, added) for t in texts]
