@@ -247,8 +247,10 @@ def context_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataF
     """
     own = roots.select(F.col("id").alias("pack"), F.lit(0).alias("rank"), F.lit("").alias("edge"), F.lit(0).alias("side"), "id", F.lit(True).alias("selected"))
     rank = -C.trace_rank(F.col("type"), F.col("confidence"), F.col("evidence"))
-    at = edges.select(F.col("id").alias("edge"), "source", "target", rank.alias("rank"), F.explode(F.array_distinct(F.array("source", "target"))).alias("pack")).join(roots.select(F.col("id").alias("pack")), "pack", "left_semi")
-    ends = at.select("pack", "rank", "edge", F.posexplode(F.array("source", "target")).alias("side", "id")).select("pack", "rank", "edge", "side", "id", F.lit(False))
+    # of an edge's ends one is the root, whose own row comes before any edge's, so only the other one can be new
+    ways = F.array(F.struct(F.col("source").alias("pack"), F.lit(1).alias("side"), F.col("target").alias("id")), F.struct(F.col("target").alias("pack"), F.lit(0).alias("side"), F.col("source").alias("id")))
+    at = edges.select(F.col("id").alias("edge"), rank.alias("rank"), F.explode(ways).alias("w")).select("w.pack", "rank", "edge", "w.side", "w.id").where("pack <> id")
+    ends = at.join(roots.select(F.col("id").alias("pack")), "pack", "left_semi").select("pack", "rank", "edge", "side", "id", F.lit(False))
     state = nodes.select("id", F.coalesce(F.col("reachability").isin("Detached", "Generated"), F.lit(False)).alias("off"))
     every = own.union(ends).join(state, "id").where("selected OR NOT off")
     order = [F.desc("selected"), "rank", "edge", "side"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions import names as N
-from graphloom.functions.session import table
+from graphloom.functions.session import checkpoint, table
 from graphloom.operators import catalog as K
 from graphloom.operators import resolve as R
 from graphloom.operators.modes import bundle
@@ -314,7 +314,7 @@ rt AS (SELECT id FROM nodes WHERE type = 'Hook'), ar AS (SELECT rt.id AS pack, r
 en AS (SELECT id AS pack, 1 AS sel, 0 AS r, '' AS edge, 0 AS side, id FROM rt UNION ALL SELECT pack, 0, -r, id, 0, source FROM ar UNION ALL SELECT pack, 0, -r, id, 1, target FROM ar),
 ok AS (SELECT en.* FROM en JOIN off ON en.id = off.id WHERE sel = 1 OR NOT off), ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pack, id ORDER BY sel DESC, r, edge, side) AS n FROM ok) WHERE n = 1)
 SELECT pack, CAST(row_number() OVER (PARTITION BY pack ORDER BY sel DESC, r, edge, side) AS INT) AS place, id FROM ft""",
-    lambda g: V.context_nodes(g.nodes, g.edges, g.nodes.where("type = 'Hook'").select("id")).select("pack", "place", "id"),
+    lambda g: (lambda n: V.context_nodes(n, g.edges, n.where("type = 'Hook'").select("id")).select("pack", "place", "id"))(checkpoint(g.nodes.select("id", "type", "reachability"))),
 )
 TRACE_SQL = RANKED + f""", ro AS (SELECT * FROM nodes WHERE type <> 'Endpoint'), lk AS (SELECT *, {STEP_KIND} AS sk FROM rk WHERE type IN ('DataFlow', 'Calls', 'ApiCall', 'EndpointHandler')),
 st AS (SELECT id AS trace, 0 AS stage, 0 AS orank, '' AS oid, 0 AS inn, 0 AS r, id AS ref, CASE WHEN reachability = 'Detached' THEN 'DetachedSource' WHEN reachability = 'External' OR type = 'ExternalCrate' THEN 'ExternalDependency' ELSE 'Unknown' END AS kind FROM ro

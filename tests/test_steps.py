@@ -1,6 +1,7 @@
 """Traces and packs: their results on small graphs, and how often their rows are moved."""
 
 from graphloom.operators.traces import node_traces
+from graphloom.operators.views import context_nodes
 
 NODES, EDGES = "id string, type string, reachability string", "id string, source string, target string, type string, confidence string, evidence string, kind string"
 
@@ -29,3 +30,11 @@ def test_node_traces_deal_their_steps_once(spark):
         got.setdefault(r["trace"], []).append(r["ref"])
     assert got == {"a": ["a", "ab", "ae", "ba", "xa"], "b": ["b", "ab", "ba", "bb", "bx"], "d": ["d", "bd"]}
     assert plan(spark, lambda: node_traces(nodes, edges)).count("Exchange hashpartitioning") <= 5  # 2 sides of 2 joins and the steps
+
+
+def test_packs_send_only_other_ends(spark):
+    nodes, edges = graph(spark)
+    make = lambda: context_nodes(nodes, edges, nodes.where("type = 'Hook'").select("id"))
+    got = [(r["pack"], r["place"], r["id"]) for r in make().orderBy("pack", "place").collect()]
+    assert got == [("b", 1, "b"), ("b", 2, "a"), ("d", 1, "d"), ("d", 2, "b")]
+    assert "posexplode" not in plan(spark, make)
