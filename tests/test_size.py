@@ -78,3 +78,17 @@ def test_hierarchy_reads_its_nodes_once(spark):
     edges = spark.createDataFrame([("m", "f", "Contains"), ("f", "s", "Contains"), ("s", "f", "Calls")], "source string, target string, type string")
     assert {tuple(r) for r in T.hierarchy(nodes, edges, 2).collect()} == {("m", "Module", 0), ("f", "File", 1)}
     assert read.value == 3
+
+
+def test_stored_tables_are_as_large_as_their_rows(spark):
+    """Files of repeated text are small; by their size such a table was sent whole to the driver."""
+    from graphloom.functions import session
+
+    rows = spark.range(400_000).selectExpr("id % 7 AS k", "repeat('x', 90) AS `a.b`", "CAST(NULL AS STRING) AS n")
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    large, none = session.stored(rows), session.stored(rows.where("false"))
+    assert large.columns == none.columns == rows.columns and none.count() == 0
+    assert large.count() == 400_000 and size(large) > 20_000_000
+    plan = spark.range(10_000_000).selectExpr("id AS k").join(large, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not [t for t in spark.catalog.listTables() if t.name.startswith("stored_")]
+    assert "Broadcast" in spark.range(10_000_000).selectExpr("id AS k").join(session.stored(rows.limit(9)), "k")._jdf.queryExecution().executedPlan().toString()
