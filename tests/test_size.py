@@ -92,3 +92,15 @@ def test_stored_tables_are_as_large_as_their_rows(spark):
     plan = spark.range(10_000_000).selectExpr("id AS k").join(large, "k")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not [t for t in spark.catalog.listTables() if t.name.startswith("stored_")]
     assert "Broadcast" in spark.range(10_000_000).selectExpr("id AS k").join(session.stored(rows.limit(9)), "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_do_not_send_a_large_table_of_symbols_everywhere(spark):
+    from graphloom.functions import session
+    from graphloom.operators import relations as L
+
+    made = spark.range(600_000).selectExpr("concat('src/some_folder/file_', id DIV 100, '.rs') AS path", "concat('fn_', id % 500) AS name", "'Function' AS type", "CAST(id % 100 AS INT) AS line_no")
+    symbols = session.stored(made)
+    mentioned = session.stored(made.selectExpr("path", "concat(path, '::', name, '@', line_no) AS source", "'call' AS rule", "name", "CAST(NULL AS STRING) AS receiver", "CAST(NULL AS STRING) AS qualified"))
+    calls = L.keyed(mentioned, L.symbol_nodes(symbols)).where("type = 'Calls'")
+    plan = calls._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
